@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hazardlens.llm import exact_dedup, mixing, quality
+from hazardlens.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, quality
 from hazardlens.llm.io import Stash, table
 
 
+#: The vocabulary of op1 and of the pipeline's last stage.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.groups(table(spark, sf_dir, "documents"), Stash(spark, "op2"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Stash(spark, "op3"))
 
@@ -22,8 +37,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_groups(table(spark, sf_dir, "documents"), Stash(spark, "op6"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_repeats(table(spark, sf_dir, "documents"), Stash(spark, "op10"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_source_mixing, op5_quality_rules, op6_exact_dedup)
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_jaccard_join, op3_source_mixing, op5_quality_rules, op6_exact_dedup, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
