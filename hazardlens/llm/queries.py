@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlens.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, quality
+from hazardlens.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, secret_scan
 from hazardlens.llm.io import Stash, table
 
 
@@ -37,6 +37,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_groups(table(spark, sf_dir, "documents"), Stash(spark, "op6"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), Stash(spark, "op8"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), Stash(spark, "op9"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.without_repeats(table(spark, sf_dir, "documents"), Stash(spark, "op10"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -44,7 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_jaccard_join, op3_source_mixing, op5_quality_rules, op6_exact_dedup, op10_line_dedup)
+    for f in (op1_byte_bpe, op2_jaccard_join, op3_source_mixing, op5_quality_rules, op6_exact_dedup, op8_secret_scan, op9_personal_data, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,3 +64,30 @@ def kept_lines(docs: list[tuple]) -> dict:
                 seen.append(s)
         out[i] = "\n".join(kept)
     return out
+
+
+def secret_spans(text: str | None) -> list[tuple[int, int, int, str]]:
+    t, out = text or "", []
+    assign = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
+    out += [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def _luhn(d: str) -> bool:
+    return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def personal_spans(text: str | None) -> list[tuple[int, int, int, str]]:
+    t, out = text or "", []
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    out += [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 2, m.end(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m[0])) <= 19 and _luhn(digits(m[0]))]
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out)
+
+
+def digest_of(spans: list[tuple[int, int, int, str]]) -> str:
+    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in spans).encode()).hexdigest()
