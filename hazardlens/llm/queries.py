@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlens.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, secret_scan
+from hazardlens.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, secret_scan, suffix_dedup, toxicity
 from hazardlens.llm.io import Stash, table
 
 
@@ -29,6 +29,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Stash(spark, "op3"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), Stash(spark, "op5"))
 
@@ -37,6 +41,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_groups(table(spark, sf_dir, "documents"), Stash(spark, "op6"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), Stash(spark, "op7"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), Stash(spark, "op8"))
 
@@ -52,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_jaccard_join, op3_source_mixing, op5_quality_rules, op6_exact_dedup, op8_secret_scan, op9_personal_data, op10_line_dedup)
+    for f in (op1_byte_bpe, op2_jaccard_join, op3_source_mixing, op4_toxicity, op5_quality_rules, op6_exact_dedup, op7_suffix_dedup, op8_secret_scan, op9_personal_data, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {

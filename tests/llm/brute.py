@@ -91,3 +91,18 @@ def personal_spans(text: str | None) -> list[tuple[int, int, int, str]]:
 
 def digest_of(spans: list[tuple[int, int, int, str]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in spans).encode()).hexdigest()
+
+
+def repeats_cut(docs: list[tuple]) -> dict:
+    """doc_id -> (removed, spans, sha256 of what stays), for unique ids."""
+    first: dict[bytes, int] = {}
+    out = {}
+    for i, text in sorted(docs):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - 49):
+            if first.setdefault(raw[s : s + 50], i) < i:
+                gone[s : s + 50] = b"\1" * 50
+        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        out[i] = (sum(gone), len(bytes(gone).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest())
+    return out
