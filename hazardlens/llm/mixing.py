@@ -74,6 +74,23 @@ def mix(docs: DataFrame, stash: Stash, weights=WEIGHTS, budget: float = 1.5, max
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, stash: Stash, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as ``mix`` takes it.
+
+    A fraction of a document's words counts as a whole repetition from one half on. Documents without words have no
+    weight in the mix and stay once. Rows that repeat are told apart by nothing: what is taken of them is shared
+    among them, the rounding up goes to the first.
+    """
+    ids = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    keyed = docs.withColumns({"_id": ids, "_key": F.xxhash64("source", "text")})
+    own = keyed.select(F.struct("_id", "_key").alias("doc_id"), "source", "text")
+    taken = mix(own, stash, **how).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows"))
+    times = F.when(F.col("size") == 0, F.col("rows")).otherwise(F.floor(F.col("taken") / F.nullif(F.col("size"), F.lit(0)) + 0.5))
+    taken = taken.select("doc_id._id", "doc_id._key", times.cast("int").alias("_times")).filter("_times > 0")
+    out = keyed.join(taken, ["_id", "_key"]).dropDuplicates(["_id", "_key"])
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+
+
 ORACLE = r"""
 with rows as (
   select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size
