@@ -26,10 +26,12 @@ from hazardlens.llm.components import labels
 from hazardlens.llm.io import Stash
 from hazardlens.llm.shingles import COMMON, Sets, rare_prefixes, rarity_table, shingle_sets
 
-#: Pivots of a region in one round; a region of no more documents is finished by it.
-PIVOTS = 64
+#: Pivots of a region in the first round of recursion, and how many times as many in each further one.
+PIVOTS, GROWTH = 64, 8
 #: Shingles are called common from this count in a block of BLOCK shingles on, and in all.
 IN_BLOCK, IN_ALL, BLOCK = 4, 32, 1 << 21
+#: Bits of a set's parity sketch.
+SKETCH = 1024
 #: Slots of the fixed-size bitmap (8 MB) that spares unneeded texts before an exact join.
 BITS_LOG2 = 26
 
@@ -69,6 +71,11 @@ def _lists(values: np.ndarray, unit: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64)))
 
 
+def _binaries(rows: np.ndarray) -> pa.Array:
+    at = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
 def nodes(docs: DataFrame, table, similar: int) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``row_key``, ``text``): the set's size, its digest ``node`` and its region keys."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -81,11 +88,11 @@ def nodes(docs: DataFrame, table, similar: int) -> DataFrame:
                 unit, h, _ = rare_prefixes(sets, level, similar)
                 ids = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.column(0), ids.column(1), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.digests().view(np.int64)), _lists(h, unit, b - a)],
-                    ["doc_id", "row_key", "n", "node", "keys"],
+                    [ids.column(0), ids.column(1), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.digests().view(np.int64)), _lists(h, unit, b - a), _binaries(sets.parities(SKETCH))],
+                    ["doc_id", "row_key", "n", "node", "keys", "sketch"],
                 )
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(of, f"doc_id {kind}, row_key long, n long, node long, keys array<long>")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(of, f"doc_id {kind}, row_key long, n long, node long, keys array<long>, sketch binary")
 
 
 def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray]:
@@ -123,7 +130,41 @@ def first_regions(keyed: DataFrame, similar: int) -> DataFrame:
     return keyed.repartition("region").mapInArrow(deal, "region long, node long, n long, pivot long")
 
 
-def recursed(members: DataFrame, similar: int) -> DataFrame:
+def plausible(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
+    """The pairs (``a``, ``b``) that the sizes and parity sketches of their nodes allow.
+
+    The triangle inequality in short: the sketches' distance is at most that of the sets, which of a linked pair is at
+    most ``(100 - similar) / (100 + similar)`` of both sizes together. No pair that links is lost.
+    """
+    a, b = (classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in ("a", "b"))
+    joined = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "s_a", "s_b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 4))
+                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                ok = differ * (100 + similar) <= batch.column(2).to_numpy() * (100 - similar)
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return joined.mapInArrow(near, "a long, b long")
+
+
+def pairs_within(region: np.ndarray, at: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of rows of one region, of the regions with ``most`` rows at most; ``region`` is sorted, ``at`` its bounds."""
+    size = np.diff(at)
+    left = np.repeat(at[1:], size) - np.arange(len(region))  # rows from here to the region's end
+    left[np.repeat(size, size) > most] = 0
+    i = np.flatnonzero(left > 1)
+    for d in range(1, most):
+        i = i[left[i] > d]
+        if not len(i):
+            return
+        for k in range(0, len(i), 200_000):
+            yield i[k : k + 200_000], i[k : k + 200_000] + d
+
+
+def recursed(members: DataFrame, similar: int, pivots: int) -> DataFrame:
     """One more level: ``kind`` 0 rows are pairs (``a``, ``b``) to measure, ``kind`` 1 rows members of what is left.
 
     ``members`` has ``region, node, n, label, far`` (far: distance to the region's last pivot, null if not measured).
@@ -134,41 +175,35 @@ def recursed(members: DataFrame, similar: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _columns(batches, ["region", "node", "n", "label", "far"])
         names = ["kind", "region", "a", "b", "n"]
-        order = np.lexsort((c["node"], c["region"])) if len(c["region"]) else []
-        region, node, n, label, far = (c[k][order] if len(order) else c[k] for k in ("region", "node", "n", "label", "far"))
-        at = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region)) if len(region) else [0]
-        out: list[np.ndarray] = []
-        held = 0
+        if not len(c["region"]):
+            return
+        order = np.lexsort((c["node"], c["region"]))
+        region, node, n, label, far = (c[k][order] for k in ("region", "node", "n", "label", "far"))
+        at = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
+
+        def rows(kind: int, of: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (np.full(len(x), kind), of, np.maximum(x, y), np.minimum(x, y), size)], names)
 
-        def flush() -> pa.RecordBatch:
-            rows = np.concatenate(out, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names)
+        def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            sizes = 100 * np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j])
+            return (label[i] != label[j]) & sizes & ~(np.abs(far[i] - far[j]) > radius + 1e-9)
 
-        for s, e in zip(at[:-1], at[1:], strict=True):
+        for i, j in pairs_within(region, at, pivots):
+            ok = possible(i, j)
+            if ok.any():
+                yield rows(0, region[i[ok]], node[i[ok]], node[j[ok]], n[i[ok]])
+        for s, e in zip(at[:-1][np.diff(at) > pivots], at[1:][np.diff(at) > pivots], strict=True):
             own, inverse, counts = np.unique(label[s:e], return_inverse=True, return_counts=True)
             if len(own) < 2:
                 continue
             order = np.lexsort((node[s:e], inverse, counts[inverse])) + s
-            k = min(PIVOTS, e - s)
-            for i in range(k):
-                p, rest = order[i], order[i + 1 :]
-                ok = (label[rest] != label[p]) & (100 * np.minimum(n[rest], n[p]) >= similar * np.maximum(n[rest], n[p]))
-                gap = np.abs(far[rest] - far[p])
-                rest = rest[ok & ~(gap > radius + 1e-9)]
-                if len(rest):
-                    x, y = np.full(len(rest), node[p]), node[rest]
-                    z = np.zeros(len(rest), np.int64)
-                    out.append(np.stack([z, z, np.maximum(x, y), np.minimum(x, y), z]))
-                    held += len(rest)
-            if e - s > k:
-                rest = order[k:]
-                out.append(np.stack([np.ones(len(rest), np.int64), region[rest], node[rest], node[rest], n[rest]]))
-                held += len(rest)
-            if held > 100_000:
-                yield flush()
-                out, held = [], 0
-        if held:
-            yield flush()
+            for i in range(pivots):
+                j = order[i + 1 :]
+                j = j[possible(np.full(len(j), order[i]), j)]
+                if len(j):
+                    yield rows(0, region[j], np.full(len(j), node[order[i]]), node[j], n[j])
+            rest = order[pivots:]
+            yield rows(1, region[rest], node[rest], node[rest], n[rest])
 
     return members.repartition("region").mapInArrow(deal, "kind long, region long, a long, b long, n long")
 
@@ -251,11 +286,12 @@ def groups(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame:
     rows = stash.keep(nodes(docs, table, similar), "nodes")
     full = rows.filter("n > 0")
     classes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    sketched = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     keyed = classes.select(F.explode("keys").alias("region"), "node", "n")
     members = stash.keep(first_regions(keyed, similar), "members")
-    classes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    classes = stash.keep(sketched, "classes")
     pairs = members.filter("pivot is not null and pivot <> node").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
-    pairs = stash.keep(pairs.distinct(), "pairs")
+    pairs = stash.keep(plausible(pairs, classes, similar), "pairs")
     seen = measured(pairs, classes, docs, stash)
     linked = F.col("both") * 100 >= F.col("either") * similar
     links = seen.filter(linked).select("a", "b")
@@ -263,10 +299,12 @@ def groups(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame:
     far = seen.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
     tried = members.filter("pivot is null or pivot <> node").withColumns({"a": F.greatest("node", "pivot"), "b": F.least("node", "pivot")})
     left = tried.join(far, ["a", "b"], "left").select("region", "node", "n", "far")
+    pivots = PIVOTS
     while True:
         named = left.join(label, "node", "left").select("region", "node", "n", F.coalesce("label", "node").alias("label"), "far")
-        step = stash.keep(recursed(named, similar), "level")
-        pairs = stash.keep(step.filter("kind = 0").select("a", "b").distinct(), "pairs")
+        step = stash.keep(recursed(named, similar, pivots), "level")
+        pairs = stash.keep(plausible(step.filter("kind = 0"), classes, similar), "pairs")
+        pivots *= GROWTH
         if not pairs.limit(1).count() and not step.filter("kind = 1").limit(1).count():
             break
         links = stash.keep(links.unionByName(measured(pairs, classes, docs, stash).filter(linked).select("a", "b")), "links")

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from hazardlens.llm.arrowtext import byte_slices
 from hazardlens.llm.io import Stash
-from hazardlens.llm.jaccard_join import _columns, _lists, common_shingles, measured
+from hazardlens.llm.jaccard_join import _binaries, _columns, _lists, common_shingles, measured, pairs_within
 from hazardlens.llm.shingles import K, rare_prefixes, shingle_sets
 
-#: Earliest lines of a token that the others are compared with in one round.
-PROVIDERS = 64
+#: Earliest lines of a token that the others are compared with in the first round, and the factor for each further one.
+PROVIDERS, GROWTH = 64, 8
+#: Bits of a line's parity sketch.
+SKETCH = 256
 
 
 def units_of_lines(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -32,7 +34,7 @@ def units_of_lines(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def lines(docs: DataFrame, table, similar: int) -> DataFrame:
     """A row per line of five words or more: ``doc_id, row_key, line, n, node, keys, places``."""
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "row_key", "line", "n", "node", "keys", "places"]
+    names = ["doc_id", "row_key", "line", "n", "node", "keys", "places", "sketch"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(table.value, np.uint8)
@@ -45,18 +47,25 @@ def lines(docs: DataFrame, table, similar: int) -> DataFrame:
                 line = np.arange(len(at) - 1) - np.searchsorted(at, offsets[doc])
                 long = _five_words(raw, at)
                 use = np.flatnonzero(long)
-                keep = long[unit]
+                keep = long & _first_of_each(sets.digests())  # keys go out once a slice for lines that repeat in it
+                keep = keep[unit]
                 renumbered = np.cumsum(long) - 1
                 unit, h, place = renumbered[unit[keep]], h[keep], place[keep]
                 ids = batch.slice(a, b - a).take(pa.array(doc[use]))
                 yield pa.RecordBatch.from_arrays(
                     [ids.column(0), ids.column(1), pa.array(line[use]), pa.array(sets.sizes[use]), pa.array(sets.digests()[use].view(np.int64)),
-                     _lists(h, unit, len(use)), _lists(place, unit, len(use))], names)
+                     _lists(h, unit, len(use)), _lists(place, unit, len(use)), _binaries(sets.parities(SKETCH)[use])], names)
 
-    schema = f"doc_id {kind}, row_key long, line long, n long, node long, keys array<long>, places array<long>"
+    schema = f"doc_id {kind}, row_key long, line long, n long, node long, keys array<long>, places array<long>, sketch binary"
     return docs.select("doc_id", "row_key", "text").mapInArrow(of, schema)
 
 
+def _first_of_each(digests: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(digests), bool)
+    out[np.unique(digests, return_index=True)[1]] = True
+    return out
+
+
 def _five_words(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     if not len(raw):
         return np.zeros(len(at) - 1, bool)
@@ -67,7 +76,7 @@ def _five_words(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0, np.cumsum(begins))[at]) >= K
 
 
-def candidates(members: DataFrame, similar: int) -> DataFrame:
+def candidates(members: DataFrame, similar: int, providers: int) -> DataFrame:
     """``kind`` 0: pairs to measure, ``later`` and ``earlier``; ``kind`` 1: what is left for another round.
 
     ``members``: ``token, node, n, place, born (order of first lines), open``: whether an earlier similar line is
@@ -75,39 +84,45 @@ def candidates(members: DataFrame, similar: int) -> DataFrame:
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _columns(batches, ["token", "node", "n", "place", "born", "open"])
+        held = list(batches)
+        c = _columns(held, ["token", "node", "n", "place", "born", "open"])
         if not len(c["token"]):
             return
+        sketch = np.concatenate([np.frombuffer(b"".join(x.column(x.schema.get_field_index("sketch")).to_pylist()), np.uint64) for x in held]).reshape(len(c["token"]), -1)
         order = np.lexsort((c["born"], c["token"]))
         token, node, n, place, born, seeks = (c[k][order] for k in ("token", "node", "n", "place", "born", "open"))
         at = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
         size = np.diff(at)
-        names, out, held = ["kind", "token", "later", "earlier", "n", "place", "born"], [], 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names)
-
-        for s, e in zip(at[:-1][size > 1], at[1:][size > 1], strict=True):
-            k = min(PROVIDERS, e - s)
-            for p in range(s, s + k):
-                x = np.flatnonzero(seeks[p + 1 : e]) + p + 1
-                least = -(-similar * (n[x] + n[p]) // (100 + similar))
-                bound = np.minimum(n[x] - place[x], n[p] - place[p])  # of the overlap, if this is the first common token
-                ok = (100 * np.minimum(n[x], n[p]) >= similar * np.maximum(n[x], n[p])) & (bound >= least)
-                x = x[ok]
-                if len(x):
-                    z = np.zeros(len(x), np.int64)
-                    out.append(np.stack([z, z, node[x], np.full(len(x), node[p]), z, z, z]))
-                    held += len(x)
-            if seeks[s + k : e].any():
-                x = np.arange(s + k, e)
-                out.append(np.stack([np.ones(len(x), np.int64), token[x], node[x], node[x], n[x], place[x], born[x]]))
-                held += len(x)
-            if held > 100_000:
-                yield flush()
-                out, held = [], 0
-        if held:
-            yield flush()
+
+        def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Which of the earlier lines i and later lines j may be similar: by length, place, and parity sketch."""
+            both = n[i] + n[j]
+            least = -(-similar * both // (100 + similar))
+            overlap = np.minimum(n[i] - place[i], n[j] - place[j])  # at most, if this is their first common token
+            ok = seeks[j] & (100 * np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j])) & (overlap >= least)
+            k = np.flatnonzero(ok)
+            differ = np.bitwise_count(sketch[order[i[k]]] ^ sketch[order[j[k]]]).sum(axis=1, dtype=np.int64)
+            ok[k] = differ * (100 + similar) <= both[k] * (100 - similar)
+            return ok
+
+        def rows(kind: int, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            cols = (np.full(len(j), kind), token[j], node[j], node[i], n[j], place[j], born[j])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["kind", "token", "later", "earlier", "n", "place", "born"])
+
+        for i, j in pairs_within(token, at, providers):
+            ok = possible(i, j)
+            if ok.any():
+                yield rows(0, i[ok], j[ok])
+        for s, e in zip(at[:-1][size > providers], at[1:][size > providers], strict=True):
+            for p in range(s, s + providers):
+                j = np.arange(p + 1, e)
+                i = np.full(len(j), p)
+                ok = possible(i, j)
+                if ok.any():
+                    yield rows(0, i[ok], j[ok])
+            if seeks[s + providers : e].any():
+                j = np.arange(s + providers, e)
+                yield rows(1, j, j)
 
     schema = "kind long, token long, later long, earlier long, n long, place long, born long"
     return members.repartition("token").mapInArrow(deal, schema)
@@ -123,16 +138,18 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame
     table = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, units_of_lines))
     found = stash.keep(lines(docs, table, similar), "lines")
     place = F.struct("doc_id", "row_key", "line")
-    firsts = found.groupBy("node").agg(F.min(place).alias("first"))
-    firsts = stash.keep(firsts.select("node", "first.*"), "firsts")
-    own = found.join(firsts.withColumnsRenamed({"doc_id": "d", "row_key": "k", "line": "l", "node": "m"}), F.expr("node = m and doc_id <=> d and row_key = k and line = l"))
-    ranked = stash.keep(_numbered(firsts), "ranked")
-    keyed = own.select("node", "n", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("token"), "node", "n", F.col("k.places").alias("place"))
-    shared = _shared(keyed)
+    firsts = found.groupBy("node").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stash.keep(firsts.select("node", "first.*", "n", "sketch"), "firsts")
+    firsts = classes.drop("n", "sketch")
+    ranked = stash.keep(_numbered(classes), "ranked")
+    keyed = found.select("node", "n", F.explode(F.arrays_zip("keys", "places")).alias("k"))
+    keyed = keyed.select(F.col("k.keys").alias("token"), "node", (F.shiftleft("n", 32) + F.col("k.places")).alias("size_place"))
+    shared = _shared(keyed).select("token", "node", F.shiftright("size_place", 32).alias("n"), (F.col("size_place") % (1 << 32)).alias("place"))
     members = stash.keep(shared.join(ranked, "node").withColumn("open", F.lit(True)), "members")
-    similar_to = None
+    similar_to, providers = None, PROVIDERS
     while True:
-        step = stash.keep(candidates(members, similar), "level")
+        step = stash.keep(candidates(members, similar, providers), "level")
+        providers *= GROWTH
         pairs = stash.keep(step.filter("kind = 0").select(F.greatest("later", "earlier").alias("a"), F.least("later", "earlier").alias("b"), "later").distinct(), "pairs")
         if pairs.limit(1).count():
             seen = measured(pairs.select("a", "b").distinct(), firsts, docs, stash, units_of_lines)
@@ -142,6 +159,7 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame
         left = step.filter("kind = 1").select("token", F.col("later").alias("node"), "n", "place", "born")
         if not left.limit(1).count():
             break
+        left = left.join(ranked.select("node", "sketch"), "node")
         if similar_to is None:
             members = left.withColumn("open", F.lit(True))
         else:
@@ -158,29 +176,29 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` whose token another node has too."""
+    """Rows of ``keyed``, one for each token and node, whose token another node has too."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _columns(batches, ["token", "node", "n", "place"])
+        c = _columns(batches, ["token", "node", "size_place"])
         if not len(c["token"]):
             return
         order = np.lexsort((c["node"], c["token"]))
-        token, node, n, place = (c[k][order] for k in ("token", "node", "n", "place"))
+        token, node, size_place = (c[k][order] for k in ("token", "node", "size_place"))
         new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-        token, node, n, place = token[new], node[new], n[new], place[new]
+        token, node, size_place = token[new], node[new], size_place[new]
         same = np.append(token[1:] == token[:-1], False)
         use = same | np.append(False, same[:-1])
-        cols = [x[use] for x in (token, node, n, place)]
+        cols = [x[use] for x in (token, node, size_place)]
         for i in range(0, int(use.sum()), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in cols], ["token", "node", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in cols], ["token", "node", "size_place"])
 
-    return keyed.repartition("token").mapInArrow(deal, "token long, node long, n long, place long")
+    return keyed.repartition("token").mapInArrow(deal, "token long, node long, size_place long")
 
 
 def _numbered(firsts: DataFrame) -> DataFrame:
-    """``node, born``: a number in the order of the first lines, by range partitions (no single-task sort)."""
+    """``node, sketch, born``: a number in the order of the first lines, by range partitions (no single-task sort)."""
     dealt = firsts.repartitionByRange("doc_id", "row_key", "line").sortWithinPartitions("doc_id", "row_key", "line")
-    return dealt.select("node", F.monotonically_increasing_id().alias("born"))
+    return dealt.select("node", "sketch", F.monotonically_increasing_id().alias("born"))
 
 
 def without_repeats(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame:

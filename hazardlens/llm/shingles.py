@@ -67,6 +67,17 @@ class Sets:
         return out
 
 
+    def parities(self, bits: int) -> np.ndarray:
+        """A row of ``bits`` bits for each set: parities of how many shingles have each value of the hash's low bits.
+
+        Two rows differ in no more bits than the sets differ in elements, so the map shortens no symmetric difference.
+        """
+        n = len(self.starts) - 1
+        slot = self.unit * bits + (self.hashes & np.uint64(bits - 1)).astype(np.int64)
+        odd = (np.bincount(slot, minlength=n * bits) & 1).astype(np.uint8)
+        return np.packbits(odd.reshape(n, bits), axis=1)
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Sets:
     """Shingle sets of the units ``raw[offsets[i]:offsets[i + 1]]``."""
     n_units, n = len(offsets) - 1, len(raw)
