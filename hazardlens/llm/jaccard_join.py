@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from hazardlens.llm.arrowtext import byte_slices
 from hazardlens.llm.components import labels
 from hazardlens.llm.io import Stash
-from hazardlens.llm.shingles import COMMON, Sets, rare_prefixes, rarity_table, shingle_sets
+from hazardlens.llm.shingles import COMMON, Sets, differing, rare_prefixes, rarity_table, shingle_sets
 
 #: Pivots of a region in the first round of recursion, and how many times as many in each further one.
 PIVOTS, GROWTH = 64, 8
 #: Shingles are called common from this count in a block of BLOCK shingles on, and in all.
 IN_BLOCK, IN_ALL, BLOCK = 4, 32, 1 << 21
-#: Bits of a set's parity sketch.
+#: Bits of a set's parity sketch; sets of more than twice as many shingles have larger ones.
 SKETCH = 1024
 #: Slots of the fixed-size bitmap (8 MB) that spares unneeded texts before an exact join.
 BITS_LOG2 = 26
@@ -88,7 +88,7 @@ def nodes(docs: DataFrame, table, similar: int) -> DataFrame:
                 unit, h, _ = rare_prefixes(sets, level, similar)
                 ids = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.column(0), ids.column(1), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.digests().view(np.int64)), _lists(h, unit, b - a), _binaries(sets.parities(SKETCH))],
+                    [ids.column(0), ids.column(1), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.digests().view(np.int64)), _lists(h, unit, b - a), pa.array(sets.sketches(SKETCH), pa.binary())],
                     ["doc_id", "row_key", "n", "node", "keys", "sketch"],
                 )
 
@@ -141,11 +141,20 @@ def plausible(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 4))
-                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                ok = differ * (100 + similar) <= batch.column(2).to_numpy() * (100 - similar)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+            if not batch.num_rows:
+                continue
+            x, y = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            size = np.array([len(v) if len(v) == len(w) else 0 for v, w in zip(x, y, strict=True)])
+            differ = np.zeros(len(x), np.int64)
+            for n in np.unique(size):
+                own = np.flatnonzero(size == n)
+                if not n:
+                    differ[own] = [differing(x[i], y[i]) for i in own]
+                    continue
+                p, q = (np.frombuffer(b"".join([v[i] for i in own]), np.uint8).reshape(len(own), n) for v in (x, y))
+                differ[own] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+            ok = differ * (100 + similar) <= batch.column(2).to_numpy() * (100 - similar)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return joined.mapInArrow(near, "a long, b long")
 

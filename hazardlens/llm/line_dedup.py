@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.llm.arrowtext import byte_slices
 from hazardlens.llm.io import Stash
-from hazardlens.llm.jaccard_join import _binaries, _columns, _lists, common_shingles, measured, pairs_within
+from hazardlens.llm.jaccard_join import _binaries, _columns, _lists, common_shingles, measured, pairs_within, plausible
 from hazardlens.llm.shingles import K, rare_prefixes, shingle_sets
 
 #: Earliest lines of a token that the others are compared with in the first round, and the factor for each further one.
@@ -34,7 +34,7 @@ def units_of_lines(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def lines(docs: DataFrame, table, similar: int) -> DataFrame:
     """A row per line of five words or more: ``doc_id, row_key, line, n, node, keys, places``."""
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "row_key", "line", "n", "node", "keys", "places", "sketch"]
+    names = ["doc_id", "row_key", "line", "n", "node", "keys", "places", "sketch", "wide"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(table.value, np.uint8)
@@ -51,12 +51,13 @@ def lines(docs: DataFrame, table, similar: int) -> DataFrame:
                 keep = keep[unit]
                 renumbered = np.cumsum(long) - 1
                 unit, h, place = renumbered[unit[keep]], h[keep], place[keep]
+                wide = sets.sketches(SKETCH)
                 ids = batch.slice(a, b - a).take(pa.array(doc[use]))
                 yield pa.RecordBatch.from_arrays(
                     [ids.column(0), ids.column(1), pa.array(line[use]), pa.array(sets.sizes[use]), pa.array(sets.digests()[use].view(np.int64)),
-                     _lists(h, unit, len(use)), _lists(place, unit, len(use)), _binaries(sets.parities(SKETCH)[use])], names)
+                     _lists(h, unit, len(use)), _lists(place, unit, len(use)), _binaries(sets.parities(SKETCH)[use]), pa.array([wide[i] for i in use], pa.binary())], names)
 
-    schema = f"doc_id {kind}, row_key long, line long, n long, node long, keys array<long>, places array<long>, sketch binary"
+    schema = f"doc_id {kind}, row_key long, line long, n long, node long, keys array<long>, places array<long>, sketch binary, wide binary"
     return docs.select("doc_id", "row_key", "text").mapInArrow(of, schema)
 
 
@@ -138,9 +139,9 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame
     table = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, units_of_lines))
     found = stash.keep(lines(docs, table, similar), "lines")
     place = F.struct("doc_id", "row_key", "line")
-    firsts = found.groupBy("node").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stash.keep(firsts.select("node", "first.*", "n", "sketch"), "firsts")
-    firsts = classes.drop("n", "sketch")
+    firsts = found.groupBy("node").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
+    classes = stash.keep(firsts.select("node", "first.*", "n", "sketch", "wide"), "firsts")
+    firsts = classes.drop("n", "sketch", "wide")
     ranked = stash.keep(_numbered(classes), "ranked")
     keyed = found.select("node", "n", F.explode(F.arrays_zip("keys", "places")).alias("k"))
     keyed = keyed.select(F.col("k.keys").alias("token"), "node", (F.shiftleft("n", 32) + F.col("k.places")).alias("size_place"))
@@ -152,7 +153,8 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame
         providers *= GROWTH
         pairs = stash.keep(step.filter("kind = 0").select(F.greatest("later", "earlier").alias("a"), F.least("later", "earlier").alias("b"), "later").distinct(), "pairs")
         if pairs.limit(1).count():
-            seen = measured(pairs.select("a", "b").distinct(), firsts, docs, stash, units_of_lines)
+            near = stash.keep(plausible(pairs, classes.drop("sketch").withColumnRenamed("wide", "sketch"), similar), "near")
+            seen = measured(near, firsts, docs, stash, units_of_lines)
             linked = seen.filter(F.col("both") * 100 >= F.col("either") * similar).select("a", "b")
             hit = pairs.join(linked, ["a", "b"]).select(F.col("later").alias("node")).distinct()
             similar_to = stash.keep(hit if similar_to is None else similar_to.unionByName(hit).distinct(), "hit")

@@ -72,10 +72,36 @@ class Sets:
 
         Two rows differ in no more bits than the sets differ in elements, so the map shortens no symmetric difference.
         """
-        n = len(self.starts) - 1
-        slot = self.unit * bits + (self.hashes & np.uint64(bits - 1)).astype(np.int64)
-        odd = (np.bincount(slot, minlength=n * bits) & 1).astype(np.uint8)
-        return np.packbits(odd.reshape(n, bits), axis=1)
+        return _parities(self.unit, self.hashes, len(self.starts) - 1, bits)
+
+    def sketches(self, least: int) -> list[bytes]:
+        """Parity rows of ``least`` bits, or for larger sets of the power of two from half their size on."""
+        n = self.sizes
+        bits = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+        out: list[bytes] = [b""] * len(n)
+        for size in np.unique(bits):
+            own = np.flatnonzero(bits == size)
+            place = np.full(len(n), -1)
+            place[own] = np.arange(len(own))
+            use = place[self.unit] >= 0
+            for i, row in zip(own, _parities(place[self.unit[use]], self.hashes[use], len(own), int(size)), strict=True):
+                out[i] = row.tobytes()
+        return out
+
+
+def _parities(unit: np.ndarray, hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    slot = unit * bits + (hashes & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits), axis=1)
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the longer folded to the shorter: low bits of the hash have both parities' sum."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Sets:
