@@ -116,7 +116,7 @@ def statement_lines(units: DataFrame, statements: DataFrame) -> DataFrame:
 def branch_arms(units: DataFrame, branches: DataFrame) -> DataFrame:
     """``unit, n_arms, n_taken, missing_arms``: each arm of ``branches`` (``path, ordinal, line, arms array``) counts."""
     arms = branches.select("path", "ordinal", "line", F.posexplode("arms").alias("arm", "hits"))
-    joined = contained(units, arms, "line")
+    joined = contained(units.select("unit", "path", "start_line", "end_line"), arms, "line")
     missing = F.when(F.col("hits") == 0, F.struct("ordinal", "line", "arm"))
     out = joined.groupBy("unit").agg(F.count("*").alias("n_arms"), F.count_if(F.col("hits") > 0).alias("n_taken"), F.sort_array(F.collect_list(missing)).alias("m"))
     return out.withColumn("missing_arms", F.transform("m", lambda x: F.struct(x["line"].alias("line"), x["arm"].alias("arm")))).drop("m")

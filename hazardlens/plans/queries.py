@@ -397,7 +397,18 @@ def linear_quantiles(t: Tables) -> DataFrame:
     return out.select("lang", "n", *[F.round(k, 6).alias(k) for k in AT])
 
 
-@query("with s as (select p_size % 25 + 1 as v from part), q as (select avg((v <= 2)::int::double) as p_free, avg((v <= 21)::int::double) as p_full from s) select round(p_free, 9) as p_free, round(p_full, 9) as p_full, greatest(1::double, round_even((select quantile_cont((p_size % 40 + 1)::double, (select p_free from q)) from part), 0)) as free, greatest(greatest(1::double, round_even((select quantile_cont((p_size % 40 + 1)::double, (select p_free from q)) from part), 0)) + 1, round_even((select quantile_cont((p_size % 40 + 1)::double, (select p_full from q)) from part), 0)) as \"full\" from q")
+def _interpolated(p: str) -> str:
+    at = f"({p} * (n - 1))"
+    return f"(l[floor{at}::int + 1] + ({at} - floor{at}) * (l[ceil{at}::int + 1] - l[floor{at}::int + 1]))"
+
+
+BAND = f"""with s as (select p_size % 25 + 1 as v from part), q as (select avg((v <= 2)::int::double) as p_free, avg((v <= 21)::int::double) as p_full from s),
+l as (select list((p_size % 40 + 1)::double order by p_size % 40 + 1) as l, count(*) as n from part),
+r as (select p_free, p_full, {_interpolated('p_free')} as a, {_interpolated('p_full')} as b from q, l)
+select round(p_free, 9) as p_free, round(p_full, 9) as p_full, greatest(1::double, round_even(a, 0)) as free, greatest(greatest(1::double, round_even(a, 0)) + 1, round_even(b, 0)) as "full" from r"""
+
+
+@query(BAND)
 def percentile_band(t: Tables) -> DataFrame:
     p = t("part")
     out = statistics.matched_band(p.select((F.col("p_size") % 25 + 1).alias("v")), p.select((F.col("p_size") % 40 + 1).alias("v")), "v", 2, 21)

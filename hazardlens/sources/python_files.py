@@ -7,7 +7,7 @@ import copy
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +47,8 @@ ROW = (
     "kind string, path string, qualname string, ordinal long, start_line int, end_line int, is_public boolean, is_async boolean, "
     "cyclomatic int, fingerprint string, signature string, total_lines int, function_count int, message string"
 )
+_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in ROW.split(", "))])
 _NAMES = [x.split()[0] for x in ROW.split(", ")]
 _DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -148,14 +150,12 @@ def parse(path: str, content: bytes) -> list[dict]:
 def parsed(files: DataFrame) -> DataFrame:
     """All rows of all files (``path, content``); a file that can't be decoded or parsed gives an error row only."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [r for path, content in zip(batch["path"], batch["content"], strict=True) for r in parse(path, bytes(content))]
-            frame = pd.DataFrame(out, columns=_NAMES)
-            whole = {"ordinal": "Int64", "start_line": "Int32", "end_line": "Int32", "cyclomatic": "Int32", "total_lines": "Int32", "function_count": "Int32"}
-            yield frame.astype(whole | {"is_public": "boolean", "is_async": "boolean"})
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist(parse(path, content), schema=_ARROW)
 
-    return files.select("path", "content").mapInPandas(rows, ROW)
+    return files.select("path", "content").mapInArrow(rows, ROW)
 
 
 def functions(rows: DataFrame) -> DataFrame:
