@@ -51,7 +51,7 @@ def lines(docs: DataFrame, table, similar: int) -> DataFrame:
                 keep = keep[unit]
                 renumbered = np.cumsum(long) - 1
                 unit, h, place = renumbered[unit[keep]], h[keep], place[keep]
-                wide = sets.sketches(SKETCH)
+                wide = sets.sketches(SKETCH, larger_only=True)
                 ids = batch.slice(a, b - a).take(pa.array(doc[use]))
                 yield pa.RecordBatch.from_arrays(
                     [ids.column(0), ids.column(1), pa.array(line[use]), pa.array(sets.sizes[use]), pa.array(sets.digests()[use].view(np.int64)),
@@ -153,7 +153,7 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame
         providers *= GROWTH
         pairs = stash.keep(step.filter("kind = 0").select(F.greatest("later", "earlier").alias("a"), F.least("later", "earlier").alias("b"), "later").distinct(), "pairs")
         if pairs.limit(1).count():
-            near = stash.keep(plausible(pairs, classes.drop("sketch").withColumnRenamed("wide", "sketch"), similar), "near")
+            near = stash.keep(plausible(pairs, classes.withColumn("sketch", F.coalesce("wide", "sketch")), similar), "near")
             seen = measured(near, firsts, docs, stash, units_of_lines)
             linked = seen.filter(F.col("both") * 100 >= F.col("either") * similar).select("a", "b")
             hit = pairs.join(linked, ["a", "b"]).select(F.col("later").alias("node")).distinct()
@@ -212,7 +212,8 @@ def without_repeats(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFra
     gone = removed_lines(docs, stash, similar).distinct().groupBy("doc_id", "row_key").agg(F.collect_list(F.col("line").cast("int")).alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), "_gone")
     own = docs.withColumn("_row_key", F.xxhash64("text"))
-    out = own.join(gone, own["doc_id"].eqNullSafe(gone["_doc"]) & (own["_row_key"] == gone["_key"]), "left")
+    # the lists are small beside the texts: hashed, so that the texts needn't be sorted
+    out = own.join(gone.hint("shuffle_hash"), own["doc_id"].eqNullSafe(gone["_doc"]) & (own["_row_key"] == gone["_key"]), "left")
     parts = F.split(F.col("text"), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))

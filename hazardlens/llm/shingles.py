@@ -74,12 +74,14 @@ class Sets:
         """
         return _parities(self.unit, self.hashes, len(self.starts) - 1, bits)
 
-    def sketches(self, least: int) -> list[bytes]:
-        """Parity rows of ``least`` bits, or for larger sets of the power of two from half their size on."""
+    def sketches(self, least: int, larger_only: bool = False) -> list[bytes | None]:
+        """Parity rows of ``least`` bits (None if ``larger_only``), or for larger sets of the power of two from half their size on."""
         n = self.sizes
         bits = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
-        out: list[bytes] = [b""] * len(n)
+        out: list[bytes | None] = [None] * len(n)
         for size in np.unique(bits):
+            if larger_only and size == least:
+                continue
             own = np.flatnonzero(bits == size)
             place = np.full(len(n), -1)
             place[own] = np.arange(len(own))

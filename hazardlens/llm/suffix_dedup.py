@@ -341,7 +341,7 @@ def without_repeats(docs: DataFrame, stash: Stash) -> DataFrame:
     runs = sorted_runs(texts, reps, repeated_anchors(texts, reps))
     spans = stash.keep(removed_spans(runs).unionByName(copies), "spans")
     per_row = spans.groupBy("id", "row_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    joined = docs.join(per_row, ["id", "row_key"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans.begin", "spans.end")
+    joined = docs.join(per_row.hint("shuffle_hash"), ["id", "row_key"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans.begin", "spans.end")
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
