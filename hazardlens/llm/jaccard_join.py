@@ -331,10 +331,12 @@ def one_of_each(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame:
 
     Whole rows that repeat count as copies: one stays. Texts without words all stay (a repeated row once).
     """
+    ids = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
     found = stash.keep(groups(docs, stash, similar), "groups")
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "row_key", "node", "n_shingles")
-    best = keep.groupBy("doc_id", F.when(F.col("n_shingles") == 0, F.col("row_key")).otherwise(F.lit(0)).alias("blank")).agg(F.min("row_key").alias("_row_key"))
-    best = best.select(F.col("doc_id").alias("_keep_id"), "_row_key").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(best["_keep_id"]) & (keyed["_key"] == best["_row_key"])
-    return keyed.join(best, on, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*[keyed[c] for c in docs.columns])
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ids("doc_id"), "row_key", "n_shingles")
+    blank = F.when(F.col("n_shingles") == 0, F.col("row_key")).otherwise(F.lit(0)).alias("blank")
+    best = keep.groupBy("_id", blank).agg(F.min("row_key").alias("_key")).select("_id", "_key").distinct()
+    out = docs.withColumns({"_id": ids("doc_id"), "_key": F.xxhash64("text")}).join(best.hint("shuffle_hash"), ["_id", "_key"], "left_semi")
+    if found.groupBy("doc_id", "row_key").count().filter("count > 1").limit(1).count():  # whole rows repeat
+        out = out.dropDuplicates(["_id", "_key"])
+    return out.select(*docs.columns)

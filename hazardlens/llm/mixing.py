@@ -86,8 +86,10 @@ def mixed_rows(docs: DataFrame, stash: Stash, **how) -> DataFrame:
     own = keyed.select(F.struct("_id", "_key").alias("doc_id"), "source", "text")
     taken = mix(own, stash, **how).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows"))
     times = F.when(F.col("size") == 0, F.col("rows")).otherwise(F.floor(F.col("taken") / F.nullif(F.col("size"), F.lit(0)) + 0.5))
-    taken = taken.select("doc_id._id", "doc_id._key", times.cast("int").alias("_times")).filter("_times > 0")
-    out = keyed.join(taken, ["_id", "_key"]).dropDuplicates(["_id", "_key"])
+    taken = stash.keep(taken.select("doc_id._id", "doc_id._key", times.cast("int").alias("_times"), "rows").filter("_times > 0"), "taken")
+    out = keyed.join(taken.hint("shuffle_hash"), ["_id", "_key"])
+    if taken.filter("rows > 1").limit(1).count():  # whole rows repeat
+        out = out.dropDuplicates(["_id", "_key"])
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
 
 
