@@ -28,7 +28,7 @@ from hazardlens.llm.shingles import mixed
 WIDTH, K = 50, 20
 SPAN = WIDTH - K + 1  # anchors that a window chooses from
 #: Fixed sizes: bits of the table of repeated anchors (16 MB), parts that anchors are dealt out by, bytes of text a run.
-TABLE_LOG2, PARTS_LOG2, RUN_BYTES = 27, 6, 24 << 20
+TABLE_LOG2, PARTS_LOG2, RUN_BYTES = 27, 6, 8 << 20
 FIRST_ID = -(2**63)  # of rows without an id
 _ODD = np.uint64(0x9FB21C651E98DF25)
 _LOW32 = np.uint64(0xFFFFFFFF)
