@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that the model is fitted on at most, and bytes of text of each class.
 ROWS, TEXT_BYTES = {1: 1_500, 0: 3_000}, {1: 16 << 20, 0: 24 << 20}
-WINDOW, STEP, LEVEL = 64, 48, 6
+WINDOW, STEP, LEVEL = 40, 24, 6
 ORDINARY, TOXIC = 8_192, 2_048  # bytes of dictionary content
 #: Savings in bytes from which a window counts; one feature each.
 SAVED = (2, 3, 4, 5, 6)
