@@ -69,7 +69,7 @@ def default_rules() -> list[Rule]:
     bullets = F.size(F.filter(lines, lambda x: F.ltrim(x).rlike("^[-*•]")))
     letters = F.length(F.regexp_replace(text, "[^\\p{L}]", ""))
     return [
-        Rule("symbols", c("n_symbols") > c("n_words") * 0.5),
+        Rule("symbols", c("n_symbols") * 10 > c("n_words")),
         Rule("word_length", (c("word_chars") < c("n_words") * 2) | (c("word_chars") > c("n_words") * 15)),
         Rule("repeated_lines", c("n_dup_lines") * 2 > F.size(lines)),
         Rule("ellipsis_lines", ends * 10 > F.size(lines) * 3),
@@ -142,6 +142,6 @@ m as (select doc_id, text, len(ws)::bigint as n_words, length(array_to_string(ws
   from u left join n using (r)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or n_symbols > n_words * 0.5 or word_chars < n_words * 2 or word_chars > n_words * 15
+  not (base_failed or n_symbols * 10 > n_words or word_chars < n_words * 2 or word_chars > n_words * 15
     or n_dup_lines * 2 > n_lines or ends * 10 > n_lines * 3 or bullets * 10 > n_lines * 9 or letters * 2 < word_chars) as kept from b
 """
