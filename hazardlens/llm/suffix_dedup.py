@@ -114,8 +114,12 @@ def _of_reps(batches, held) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def sorted_runs(texts: DataFrame, reps: bytes, repeated: bytes) -> DataFrame:
-    """``part, run``: front-coded sorted runs of the suffixes at repeated anchors."""
+    """``part, run``: front-coded sorted runs of the suffixes at repeated anchors.
+
+    Parts are by anchor, about four for each shuffle partition, so that what a task merges at once stays small.
+    """
     spark = texts.sparkSession
+    log2 = min(14, max(PARTS_LOG2, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     held, table = spark.sparkContext.broadcast(reps), spark.sparkContext.broadcast(repeated)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,19 +130,19 @@ def sorted_runs(texts: DataFrame, reps: bytes, repeated: bytes) -> DataFrame:
             slot = (h >> np.uint64(64 - TABLE_LOG2)).astype(np.int64)
             use = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
             text, first, last, anchor = text[use], first[use], last[use], anchor[use]
-            part = (h[use] >> np.uint64(64 - PARTS_LOG2)).astype(np.uint8)
+            part = (h[use] >> np.uint64(64 - log2)).astype(np.uint16)
             keys.append((_keys(raw, first, last, anchor), part, (text + docs).astype(np.uint32), (first - offsets[text]).astype(np.uint32)))
             ids.append(doc)
             rows.append(row)
             size += len(raw)
             docs += len(doc)
             if size >= RUN_BYTES:
-                yield from _front_coded(keys, np.concatenate(ids), np.concatenate(rows))
+                yield from _front_coded(keys, np.concatenate(ids), np.concatenate(rows), 1 << log2)
                 keys, ids, rows, size, docs = [], [], [], 0, 0
         if keys:
-            yield from _front_coded(keys, np.concatenate(ids), np.concatenate(rows))
+            yield from _front_coded(keys, np.concatenate(ids), np.concatenate(rows), 1 << log2)
 
-    return texts.mapInArrow(build, "part int, run binary")
+    return texts.mapInArrow(build, "part int, run binary").repartition(1 << log2, "part")
 
 
 #: A key: the anchor, lengths of the rest after it and of what is before it, the rest, and the reversed bytes before.
@@ -162,11 +166,11 @@ def _keys(raw: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarr
     return out
 
 
-def _front_coded(held: list[tuple], ids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _front_coded(held: list[tuple], ids: np.ndarray, rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     key, part, text, start = (np.concatenate([x[i] for x in held]) for i in range(4))
     order = np.lexsort((np.arange(len(key)), key.view(f"S{LONGEST}").ravel(), part)) if len(key) else np.zeros(0, np.int64)
     key, part, text, start = key[order], part[order], text[order], start[order]
-    at = np.searchsorted(part, np.arange((1 << PARTS_LOG2) + 1))
+    at = np.searchsorted(part, np.arange(parts + 1))
     out = []
     for p in np.flatnonzero(np.diff(at)):
         k = key[at[p] : at[p + 1]]
@@ -288,7 +292,7 @@ def _resolved(group: list[tuple[bytes, list[tuple[int, int, int]]]]) -> Iterator
 
 
 def removed_spans(runs: DataFrame) -> DataFrame:
-    """``id, row_key, begin, end`` (bytes) from the merged runs of each part; spans may overlap."""
+    """``id, row_key, begin, end`` (bytes) from the merged runs of each part (dealt out by part); spans may overlap."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[bytes]] = {}
@@ -316,7 +320,7 @@ def removed_spans(runs: DataFrame) -> DataFrame:
         if out:
             yield flush()
 
-    return runs.repartition("part").mapInArrow(merge, "id long, row_key long, begin long, end long")
+    return runs.mapInArrow(merge, "id long, row_key long, begin long, end long")
 
 
 def without_repeats(docs: DataFrame, stash: Stash) -> DataFrame:
