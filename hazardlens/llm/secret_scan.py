@@ -28,8 +28,9 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: Length classes begin at these; within each the lowest level is taken whose false-discovery rate is at most FDR.
-CLASSES, LEVELS, FDR = (20, 32, 64), (0.01, 0.05, 0.1, 0.2, 0.4), 0.05
+#: Length classes begin at these; within each, randomness is rejected at the highest of LEVELS that Benjamini and Hochberg allow for FDR.
+CLASSES, FDR = (20, 32, 64), 0.05
+LEVELS = tuple(FDR / 2**i for i in range(24))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -99,9 +100,10 @@ def scan(docs: DataFrame, stash: Stash) -> DataFrame:
     Null text counts as empty: no spans, and the digest of nothing. Repeated rows give repeated results; an empty
     table gives an empty one; other columns are not read. Beyond the base, a span of kind ``random`` is a token of 20
     characters or more with a digit and a letter, clear of all base spans, that the randomness battery doesn't reject.
-    The level is set for each length class: tokens of letters only stand for ordinary text, and the lowest level is
-    taken at which their pass rate times the tokens tested is at most 5 % of those passed; no level, no spans. These
-    rates come from all documents, through one aggregation to a single row.
+    The level is set for each length class by Benjamini and Hochberg on the p values themselves: the highest level times
+    the tokens tested is at most 5 % of those it rejects, so of the rejected ones at most some 5 % are random, in a table
+    of any size. Ordinary tokens that the battery doesn't reject are added too. The counts come from all documents,
+    through one aggregation to a single row.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
@@ -117,23 +119,20 @@ def scan(docs: DataFrame, stash: Stash) -> DataFrame:
 
     able = F.filter(tokens, lambda x: x["match"].rlike("[A-Za-z]"))
     rows = stash.keep(rows.select("doc_id", "base", F.transform(able, tested).alias("tokens")), "tokens")
-    one = rows.select(F.explode("tokens").alias("t")).select("t.*")
+    one = rows.select(F.explode("tokens").alias("t")).select("t.*").filter(~F.col("ordinary"))
     sums = []
     for c in range(len(CLASSES)):
-        for i, level in enumerate(LEVELS):
-            own = (F.col("class") == c) & (F.col("p") >= level)
-            sums += [F.count_if(own & F.col("ordinary")).alias(f"o{c}_{i}"), F.count_if(own & ~F.col("ordinary")).alias(f"k{c}_{i}")]
-        sums += [F.count_if((F.col("class") == c) & F.col("ordinary")).alias(f"o{c}"), F.count_if((F.col("class") == c) & ~F.col("ordinary")).alias(f"k{c}")]
+        own = F.col("class") == c
+        sums += [F.count_if(own).alias(f"k{c}"), *[F.count_if(own & (F.col("p") <= level)).alias(f"k{c}_{i}") for i, level in enumerate(LEVELS)]]
     limits = []
     for c in range(len(CLASSES)):
-        limit = F.lit(2.0)
+        limit = F.lit(0.0)
         for i in reversed(range(len(LEVELS))):
-            rate = (F.col(f"o{c}_{i}") + 1) / (F.col(f"o{c}") + 1) * F.col(f"k{c}")
-            limit = F.when(rate <= FDR * F.col(f"k{c}_{i}"), F.lit(LEVELS[i])).otherwise(limit)
+            limit = F.when(LEVELS[i] * F.col(f"k{c}") <= FDR * F.col(f"k{c}_{i}"), F.lit(LEVELS[i])).otherwise(limit)
         limits.append(limit)
     limits = one.agg(*sums).select(F.array(*limits).alias("limits"))
     rows = rows.crossJoin(F.broadcast(limits))
-    added = F.filter("tokens", lambda x: ~x["ordinary"] & (x["p"] >= F.get(F.col("limits"), x["class"])))
+    added = F.filter("tokens", lambda x: ~x["ordinary"] & (x["p"] > F.get(F.col("limits"), x["class"])))
     added = F.transform(added, lambda x: F.struct(x["start"].alias("start"), x["place"].alias("place"), x["end"].alias("end"), x["kind"].alias("kind")))
     rows = rows.select("doc_id", "base", F.sort_array(F.concat("base", added)).alias("every"))
     return rows.select(

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import string
 
 import brute
 import numpy as np
@@ -207,6 +208,23 @@ def test_secret_scan(spark):
         assert set(f"{k}:{s}:{e}" for s, _, e, k in want) <= set(rows[i].spans.split(","))
 
 
+def _random_spans(spark, texts):
+    return {r.doc_id: [x for x in r.spans.split(",") if x.startswith("random:")] for r in secret_scan.scan(frame(spark, texts), Stash(spark, "t")).collect()}
+
+
+def test_random_tokens_are_found_in_small_tables(spark):
+    rng = random.Random(1)
+    token = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    texts = [(i, "x " + token((24, 40, 80)[i % 3])) for i in range(60)] + [(60 + i, "x " + "abcdefghij" * (2, 4, 8)[i] + "1") for i in range(3)]
+    found = _random_spans(spark, texts)
+    for n in range(3):
+        assert sum(found[i] == [f"random:2:{len(texts[i][1])}"] for i in range(n, 60, 3)) >= 18
+    assert not any(found[i] for i in range(61, 63))
+    p = spark.createDataFrame(texts[:60], "id long, t string").select("id", secret_scan.random_p(F.substr("t", F.lit(3))).alias("p"))
+    best = p.orderBy(F.desc("p")).first().id
+    assert _random_spans(spark, [texts[best]]) == {best: [f"random:2:{len(texts[best][1])}"]}
+
+
 def test_randomness_battery(spark):
     rng = random.Random(9)
     tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(40)] + ["a" * 40, "abcdefghij" * 4, "0123456789abcdef" * 3]
