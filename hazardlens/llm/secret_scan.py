@@ -17,8 +17,10 @@ ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"'
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{16,}+"  # maximal runs, as [0-9a-f]+ finds, of 16 or more
 
-#: Tokens that the battery tests: runs of 20 or more characters of the widest alphabet.
-TOKEN = "[A-Za-z0-9+/_=-]{20,}+"
+_PLAIN, _URL = "[A-Za-z0-9+/]{20,}+", "[A-Za-z0-9_-]{20,}+"
+#: Tokens that the battery tests: runs of 20 or more characters of one of the two widest alphabets and their padding. An
+#: equals sign inside ends a token; a run that mixes + or / with _ or - gives its parts that one alphabet covers.
+TOKEN = f"(?:{_PLAIN}(?![_-])|{_URL}(?![+/])|{_PLAIN}|{_URL})(?:=++(?![A-Za-z0-9+/_-]))?+"
 #: name, pattern of tokens that it covers, alphabet in order; the first that fits is the token's encoding.
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),

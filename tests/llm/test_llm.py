@@ -225,6 +225,18 @@ def test_random_tokens_are_found_in_small_tables(spark):
     assert _random_spans(spark, [texts[best]]) == {best: [f"random:2:{len(texts[best][1])}"]}
 
 
+def test_tokens_end_at_inner_equals_signs(spark):
+    rng = random.Random(1)
+    token = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    forms = ("AWS_SECRET_ACCESS_KEY={}", "SESSION_KEY={}==", "https://h.example/?sig={}&x=1", "a/b_c/{}", "a-b+{}")
+    texts = [(i, forms[i % 5].format(token(40))) for i in range(60)]
+    found = _random_spans(spark, texts)
+    # a part begins after the sign, or after the last character that is of the other alphabet only
+    at = ("22:62", "12:54", "23:63", "4:46", "2:44")
+    for k in range(5):
+        assert sum(f"random:{at[k]}" in found[i] for i in range(k, 60, 5)) >= 10
+
+
 def test_randomness_battery(spark):
     rng = random.Random(9)
     tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(40)] + ["a" * 40, "abcdefghij" * 4, "0123456789abcdef" * 3]
