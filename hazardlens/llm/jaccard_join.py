@@ -281,7 +281,7 @@ def measured(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stash: Stash
 
 
 def groups(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, row_key, n_shingles, node, component_id``.
+    """Per row of ``docs``: ``doc_id, row_key, n_shingles, node, label, component_id``; ``label`` names the group whatever its ids (null without words).
 
     Rows link when their shingle sets have a Jaccard similarity of ``similar`` % or more; ``component_id`` is the
     smallest id reachable. Equal sets are one node, so copies are compared once. Texts without words (null, empty,
@@ -321,21 +321,24 @@ def groups(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame:
         left = step.filter("kind = 1").select("region", F.col("a").alias("node"), "n", F.lit(None).cast("double").alias("far"))
     named = classes.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(least, "label").select("node", "component_id")
+    of_node = named.join(least, "label").select("node", "label", "component_id")
     out = rows.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
-    return out.select("doc_id", "row_key", "n_shingles", "node", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "row_key", "n_shingles", "node", "label", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, of which each group of linked documents keeps its smallest id.
 
-    Whole rows that repeat count as copies: one stays. Texts without words all stay (a repeated row once).
+    Groups are told apart by their texts, so unlinked texts without an id, or of one id, all stay; a null id counts as
+    the largest. Whole rows that repeat count as copies: one stays. Texts without words all stay (a repeated row once).
     """
     ids = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
     found = stash.keep(groups(docs, stash, similar), "groups")
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ids("doc_id"), "row_key", "n_shingles")
-    blank = F.when(F.col("n_shingles") == 0, F.col("row_key")).otherwise(F.lit(0)).alias("blank")
-    best = keep.groupBy("_id", blank).agg(F.min("row_key").alias("_key")).select("_id", "_key").distinct()
+    found = found.withColumn("_id", ids("doc_id"))
+    blank = found.filter("n_shingles = 0").select("_id", F.col("row_key").alias("_key"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_key", "_id"))
+    best = found.filter("n_shingles > 0").groupBy("label").agg(first.alias("f")).select("f._id", F.col("f.row_key").alias("_key"))
+    best = best.unionByName(blank).distinct()
     out = docs.withColumns({"_id": ids("doc_id"), "_key": F.xxhash64("text")}).join(best.hint("shuffle_hash"), ["_id", "_key"], "left_semi")
     if found.groupBy("doc_id", "row_key").count().filter("count > 1").limit(1).count():  # whole rows repeat
         out = out.dropDuplicates(["_id", "_key"])

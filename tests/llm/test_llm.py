@@ -86,6 +86,12 @@ def test_one_of_each(spark):
     assert kept == [3, 7, 8, 9]
 
 
+def test_one_of_each_by_group(spark):
+    docs = [(None, "a b c d e f"), (None, "other words are here now"), (4, "g h i j k l"), (4, "some more words stand here"), (6, "G h i j k l"), (None, None)]
+    kept = jaccard_join.one_of_each(frame(spark, docs), Stash(spark, "t")).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [d for d in docs if d[0] != 6]))
+
+
 def test_sketches_never_exceed_the_difference():
     rng = random.Random(2)
     for n in (5, 300, 9000):
