@@ -18,7 +18,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that are similar to an earlier one; every document stays, also if no line does."""
-    out = line_dedup.without_repeats(docs, Stash(spark, "lines"))
+    out = line_dedup.without_repeats(docs, Stash(spark, "lines"), short=True)
     names = [c for c in docs.columns]
     text = F.col("text")
     size = {"n_chars": F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes).get("n_chars", "long"))}

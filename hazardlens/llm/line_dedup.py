@@ -31,8 +31,11 @@ def units_of_lines(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([offsets, np.flatnonzero(raw == 10) + 1]))
 
 
-def lines(docs: DataFrame, table, similar: int) -> DataFrame:
-    """A row per line of five words or more: ``doc_id, row_key, line, n, node, keys, places``."""
+def lines(docs: DataFrame, table, similar: int, short: bool = False) -> DataFrame:
+    """A row per line of five words or more (with ``short``, of one or more): ``doc_id, row_key, line, n, node, keys, places``.
+
+    Lines under five words have no keys: their one shingle is equal only where the node is.
+    """
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "row_key", "line", "n", "node", "keys", "places", "sketch", "wide"]
 
@@ -45,9 +48,10 @@ def lines(docs: DataFrame, table, similar: int) -> DataFrame:
                 unit, h, place = rare_prefixes(sets, level, similar)
                 doc = np.searchsorted(offsets, at[:-1], "right") - 1
                 line = np.arange(len(at) - 1) - np.searchsorted(at, offsets[doc])
-                long = _five_words(raw, at)
+                five = _five_words(raw, at)
+                long = sets.sizes > 0 if short else five
                 use = np.flatnonzero(long)
-                keep = long & _first_of_each(sets.digests())  # keys go out once a slice for lines that repeat in it
+                keep = five & _first_of_each(sets.digests())  # keys go out once a slice for lines that repeat in it
                 keep = keep[unit]
                 renumbered = np.cumsum(long) - 1
                 unit, h, place = renumbered[unit[keep]], h[keep], place[keep]
@@ -129,15 +133,16 @@ def candidates(members: DataFrame, similar: int, providers: int) -> DataFrame:
     return members.repartition("token").mapInArrow(deal, schema)
 
 
-def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame:
+def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80, short: bool = False) -> DataFrame:
     """``doc_id, row_key, line`` (from 0) of the lines to remove; ``row_key`` is a 64-bit hash of the text.
 
-    Lines under five words (so blank ones) have no shingle and stay. Rows with null ids come first in the order. A
+    Lines without a word stay. Lines under five words stay too, unless ``short``: then their word sequence is their one
+    shingle, and those that repeat an earlier one go. Rows with null ids come first in the order. A
     text that repeats loses its lines in the later rows; in whole rows that repeat, lines count as one occurrence.
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     table = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, units_of_lines))
-    found = stash.keep(lines(docs, table, similar), "lines")
+    found = stash.keep(lines(docs, table, similar, short), "lines")
     place = F.struct("doc_id", "row_key", "line")
     firsts = found.groupBy("node").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     classes = stash.keep(firsts.select("node", "first.*", "n", "sketch", "wide"), "firsts")
@@ -203,13 +208,13 @@ def _numbered(firsts: DataFrame) -> DataFrame:
     return dealt.select("node", "sketch", F.monotonically_increasing_id().alias("born"))
 
 
-def without_repeats(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame:
+def without_repeats(docs: DataFrame, stash: Stash, similar: int = 80, short: bool = False) -> DataFrame:
     """``docs``, all columns and rows, its text without the removed lines, plus ``n_lines`` and ``n_removed``.
 
     Lines end at line feeds; what stays is joined by line feeds again. A null text stays null and has 0 lines; texts
-    from which nothing goes are unchanged.
+    from which nothing goes are unchanged. With ``short``, lines of one to four words take part.
     """
-    gone = removed_lines(docs, stash, similar).distinct().groupBy("doc_id", "row_key").agg(F.collect_list(F.col("line").cast("int")).alias("_gone"))
+    gone = removed_lines(docs, stash, similar, short).distinct().groupBy("doc_id", "row_key").agg(F.collect_list(F.col("line").cast("int")).alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), "_gone")
     own = docs.withColumn("_row_key", F.xxhash64("text"))
     # the lists are small beside the texts: hashed, so that the texts needn't be sorted

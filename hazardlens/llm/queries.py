@@ -55,7 +55,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.without_repeats(table(spark, sf_dir, "documents"), Stash(spark, "op10"))
+    out = line_dedup.without_repeats(table(spark, sf_dir, "documents"), Stash(spark, "op10"), short=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -109,6 +109,12 @@ def test_line_dedup(spark, corpus, monkeypatch, providers):
     assert got == brute.kept_lines(corpus)
 
 
+def test_line_dedup_of_short_lines(spark):
+    docs = [(1, "Home page\na b c d\n\n  "), (2, "home  page\n\n  \na b c\nxyz"), (3, "a b c d\na b c d e\nHOME PAGE\nXYZ")]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(frame(spark, docs), Stash(spark, "t"), short=True).collect()}
+    assert got == {1: docs[0][1], 2: "\n  \na b c\nxyz", 3: "a b c d e"}
+
+
 def test_mixing(spark, corpus):
     docs = frame(spark, corpus, ["b", "a", None, "c"])
     rows = mixing.mix(docs, Stash(spark, "t")).collect()
