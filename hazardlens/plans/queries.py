@@ -516,6 +516,15 @@ def export_reachability(t: Tables) -> DataFrame:
     return graph.reachable(edges, roots, depth=6)
 
 
+@query()
+def export_closure(t: Tables) -> DataFrame:
+    """All that every order's edge reaches, in any number of steps, from the customers of the first nation."""
+    n = t("customer").count()
+    edges = t("orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % n + 1).alias("b"))
+    roots = t("customer").filter(F.col("c_nationkey") == 0).select(F.col("c_custkey").alias("node"))
+    return graph.reachable(edges, roots)
+
+
 @query("with l as (select doc_id % 7 as repo, doc_id as pr, doc_id % 3 as base, quality as label from labels), r as (select doc_id % 7 as repo, doc_id as pr, doc_id % 2 as base from documents), same as (select distinct repo, pr from l) select r.repo, r.pr, coalesce(l.label::varchar, 'unlabeled') as label, l.label is null and same.pr is not null as stale from r left join l on l.repo = r.repo and l.pr = r.pr and l.base = r.base left join same on same.repo = r.repo and same.pr = r.pr")
 def label_join_stale(t: Tables) -> DataFrame:
     key = F.col("doc_id")

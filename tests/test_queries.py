@@ -38,3 +38,17 @@ def test_entry_module():
     import __spark_entry__ as e
 
     assert set(ORACLE_SQL) <= set(e.oracle_sql()) and set(QUERIES) <= set(e.queries())
+
+
+def test_export_closure_is_whole(spark):
+    orders, customer = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("orders", "customer"))
+    to: dict = {}
+    for a, b in zip(orders.o_custkey, orders.o_orderkey % len(customer) + 1, strict=True):
+        to.setdefault(a, set()).add(b)
+    seen, left = set(), list(customer.c_custkey[customer.c_nationkey == 0])
+    while left:
+        node = left.pop()
+        if node not in seen:
+            seen.add(node)
+            left += to.get(node, ())
+    assert sorted(r.node for r in QUERIES["export_closure"](spark, SF).collect()) == sorted(seen)
