@@ -563,7 +563,7 @@ def logit_loro(t: Tables) -> DataFrame:
 
 @query()
 def bootstrap_ci(t: Tables) -> DataFrame:
-    return model.bootstrap_interval(_features(t), ["x1", "x2", "x3"], "x1", draws=100)
+    return model.bootstrap_interval(_features(t), ["x1", "x2", "x3"], "x1")
 
 
 def _features(t: Tables) -> DataFrame:

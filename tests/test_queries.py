@@ -1,11 +1,13 @@
 """Every registered query with SQL gives the SQL's rows at the smallest size; plans keep their shape."""
 
+import inspect
 import os
 
 import duckdb
 import pandas as pd
 import pytest
 
+from hazardlens.plans import queries
 from hazardlens.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +42,21 @@ def test_entry_module():
     assert set(ORACLE_SQL) <= set(e.oracle_sql()) and set(QUERIES) <= set(e.queries())
 
 
+def test_bootstrap_runs_all_draws(monkeypatch):
+    seen = {}
+    bound = inspect.signature(queries.model.bootstrap_interval)
+
+    def record(*args, **named):
+        call = bound.bind(*args, **named)
+        call.apply_defaults()
+        seen.update(call.arguments)
+
+    monkeypatch.setattr(queries.model, "bootstrap_interval", record)
+    monkeypatch.setattr(queries, "_features", lambda t: None)
+    queries.bootstrap_ci(None)
+    assert seen["draws"] == 1000
+
+
 def test_export_closure_is_whole(spark):
     orders, customer = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("orders", "customer"))
     to: dict = {}
