@@ -50,7 +50,7 @@ def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.join(best, ["file", "specifier"], "left")
 
 
-def public_names(exports: DataFrame, entries: DataFrame, files: DataFrame, depth: int = 32) -> tuple[DataFrame, DataFrame, bool]:
+def public_names(exports: DataFrame, entries: DataFrame, files: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """Names that entry files export, through forwards and stars.
 
     ``exports``: ``file, export_name, kind (local, forward, star), local_name, specifier, source_name``. Gives local

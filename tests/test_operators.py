@@ -122,6 +122,16 @@ def test_export_graph(spark):
     assert rows(reached) == [("b.ts", "extra"), ("lib/a.ts", "innerImpl")] and rows(lost) == [] and not poisoned
 
 
+def test_export_graph_has_no_cap(spark, monkeypatch):
+    depths = []
+    whole = graph.reachable
+    monkeypatch.setattr(graph, "reachable", lambda edges, roots, depth=None: (depths.append(depth), whole(edges, roots, depth))[1])
+    ex = "file string, export_name string, kind string, local_name string, specifier string, source_name string"
+    exports = spark.createDataFrame([("a.ts", "f", "local", "f", None, None)], ex)
+    files = spark.createDataFrame([("a.ts",)], "file string")
+    assert rows(graph.public_names(exports, files, files)[0]) == [("a.ts", "f")] and depths == [None, None]
+
+
 def test_history(spark):
     log = spark.createDataFrame([("a\0p\0fix: crash #12",), ("b\0p q\0bugfix",), ("c\0p\0add prefix",), ("bad",)], "line string")
     assert sorted((r.sha, r.is_merge) for r in history.fix_commits(log).collect()) == [("a", False), ("b", True)]
