@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -36,3 +36,15 @@ def without(text: Column, chars: str) -> Column:
 def n_chars_of(text: Column, chars: str) -> Column:
     """How many code points of ``text`` are in ``chars`` (each one code point)."""
     return (F.length(text) - F.length(without(text, chars))).cast("long")
+
+
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """Working names like ``names`` that no column of ``docs`` has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -6,10 +6,13 @@ within the window of every region, and all are replicated everywhere. So the reg
 smallest possible pivots, sets of one shingle: a document is at distance below 1 of such a pivot only if it has the
 shingle. Of the regions that it touches it is replicated to the boundary that pairs within the radius need: those of its
 first ``n - ceil(0.8 n) + 1`` shingles in one global order, rare ones first. Two documents within the radius meet there.
-Within a region a document becomes the pivot; its distance to all others in the region is measured, linked documents
-form its cell, and the rest is joined recursively: with new document pivots, among documents of different components
-only, and only where the triangle inequality over the distances to the last pivot leaves a link possible. A document
-that was a pivot has met the whole region and leaves it. All distances come from whole sets.
+Regions with the same documents are one.
+
+Within a region (see ``regions.py``) documents are pivots: they create cells, windows of the triangle inequality replicate
+documents at the borders, and cells are joined recursively. Distances there come from parity sketches, a map into Hamming
+space that lengthens no distance, so no link is lost. Each document proposes its first partner in the order of nodes; whole
+sets decide. Once the links found make components, only documents of different components go on, with more partners
+each, in regions where some are left. So a group of copies costs about a pair for each of its members.
 """
 
 from __future__ import annotations
@@ -21,17 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlens.llm.arrowtext import byte_slices
+from hazardlens.llm.arrowtext import byte_slices, tidy
 from hazardlens.llm.components import labels
+from hazardlens.llm.exprs import spare
 from hazardlens.llm.io import Stash
-from hazardlens.llm.shingles import COMMON, Sets, differing, rare_prefixes, rarity_table, shingle_sets
+from hazardlens.llm.regions import partners, regions
+from hazardlens.llm.shingles import COMMON, Sets, rare_prefixes, rarity_table, shingle_sets
 
-#: Pivots of a region in the first round of recursion, and how many times as many in each further one.
-PIVOTS, GROWTH = 64, 8
+#: Partners that a row of a region proposes: one in the first round, so many times as many in each further one.
+GROWTH = 8
 #: Shingles are called common from this count in a block of BLOCK shingles on, and in all.
 IN_BLOCK, IN_ALL, BLOCK = 4, 32, 1 << 21
-#: Bits of a set's parity sketch; sets of more than twice as many shingles have larger ones.
-SKETCH = 1024
+#: Bits of a set's parity sketch at least; sets of more than half as many shingles have larger ones.
+SKETCH = 256
 #: Slots of the fixed-size bitmap (8 MB) that spares unneeded texts before an exact join.
 BITS_LOG2 = 26
 
@@ -61,7 +66,7 @@ def common_shingles(texts: DataFrame, units=units_of_texts) -> bytes:
         if n:
             yield flush()
 
-    counts = texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= IN_ALL).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     return rarity_table(list(zip(top["h"].to_pylist(), top["n"].to_pylist(), strict=True)))
 
@@ -71,11 +76,6 @@ def _lists(values: np.ndarray, unit: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64)))
 
 
-def _binaries(rows: np.ndarray) -> pa.Array:
-    at = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(rows.tobytes())])
-
-
 def nodes(docs: DataFrame, table, similar: int) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``row_key``, ``text``): the set's size, its digest ``node`` and its region keys."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -92,129 +92,7 @@ def nodes(docs: DataFrame, table, similar: int) -> DataFrame:
                     ["doc_id", "row_key", "n", "node", "keys", "sketch"],
                 )
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(of, f"doc_id {kind}, row_key long, n long, node long, keys array<long>, sketch binary")
-
-
-def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray]:
-    parts = [[b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names] for b in batches]
-    return {c: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i, c in enumerate(names)}
-
-
-def first_regions(keyed: DataFrame, similar: int) -> DataFrame:
-    """Regions of two documents or more: ``region, node, n, pivot``; ``pivot`` null where the sizes exclude a link.
-
-    ``keyed`` has ``region, node, n``, one row per region that a node is replicated to. A partition is sorted in numpy
-    (24 bytes a row).
-    """
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _columns(batches, ["region", "node", "n"])
-        if not len(c["region"]):
-            return
-        order = np.lexsort((c["node"], c["region"]))
-        region, node, n = (c[k][order] for k in ("region", "node", "n"))
-        new = np.ones(len(region), bool)
-        new[1:] = region[1:] != region[:-1]
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(region)))
-        first = np.repeat(start, size)
-        use = np.repeat(size, size) > 1
-        near = 100 * np.minimum(n, n[first]) >= similar * np.maximum(n, n[first])
-        region, node, n, pivot, near = region[use], node[use], n[use], node[first][use], near[use]
-        for i in range(0, len(region), 100_000):
-            j = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(region[j]), pa.array(node[j]), pa.array(n[j]), pa.array(pivot[j], mask=~near[j])], ["region", "node", "n", "pivot"]
-            )
-
-    return keyed.repartition("region").mapInArrow(deal, "region long, node long, n long, pivot long")
-
-
-def plausible(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
-    """The pairs (``a``, ``b``) that the sizes and parity sketches of their nodes allow.
-
-    The triangle inequality in short: the sketches' distance is at most that of the sets, which of a linked pair is at
-    most ``(100 - similar) / (100 + similar)`` of both sizes together. No pair that links is lost.
-    """
-    a, b = (classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in ("a", "b"))
-    joined = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "s_a", "s_b")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            size = np.array([len(v) if len(v) == len(w) else 0 for v, w in zip(x, y, strict=True)])
-            differ = np.zeros(len(x), np.int64)
-            for n in np.unique(size):
-                own = np.flatnonzero(size == n)
-                if not n:
-                    differ[own] = [differing(x[i], y[i]) for i in own]
-                    continue
-                p, q = (np.frombuffer(b"".join([v[i] for i in own]), np.uint8).reshape(len(own), n) for v in (x, y))
-                differ[own] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
-            ok = differ * (100 + similar) <= batch.column(2).to_numpy() * (100 - similar)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return joined.mapInArrow(near, "a long, b long")
-
-
-def pairs_within(region: np.ndarray, at: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of rows of one region, of the regions with ``most`` rows at most; ``region`` is sorted, ``at`` its bounds."""
-    size = np.diff(at)
-    left = np.repeat(at[1:], size) - np.arange(len(region))  # rows from here to the region's end
-    left[np.repeat(size, size) > most] = 0
-    i = np.flatnonzero(left > 1)
-    for d in range(1, most):
-        i = i[left[i] > d]
-        if not len(i):
-            return
-        for k in range(0, len(i), 200_000):
-            yield i[k : k + 200_000], i[k : k + 200_000] + d
-
-
-def recursed(members: DataFrame, similar: int, pivots: int) -> DataFrame:
-    """One more level: ``kind`` 0 rows are pairs (``a``, ``b``) to measure, ``kind`` 1 rows members of what is left.
-
-    ``members`` has ``region, node, n, label, far`` (far: distance to the region's last pivot, null if not measured).
-    Regions of one component are done. The pivots are documents of the region's smallest components.
-    """
-    radius = 1 - similar / 100
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _columns(batches, ["region", "node", "n", "label", "far"])
-        names = ["kind", "region", "a", "b", "n"]
-        if not len(c["region"]):
-            return
-        order = np.lexsort((c["node"], c["region"]))
-        region, node, n, label, far = (c[k][order] for k in ("region", "node", "n", "label", "far"))
-        at = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
-
-        def rows(kind: int, of: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in (np.full(len(x), kind), of, np.maximum(x, y), np.minimum(x, y), size)], names)
-
-        def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            sizes = 100 * np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j])
-            return (label[i] != label[j]) & sizes & ~(np.abs(far[i] - far[j]) > radius + 1e-9)
-
-        for i, j in pairs_within(region, at, pivots):
-            ok = possible(i, j)
-            if ok.any():
-                yield rows(0, region[i[ok]], node[i[ok]], node[j[ok]], n[i[ok]])
-        for s, e in zip(at[:-1][np.diff(at) > pivots], at[1:][np.diff(at) > pivots], strict=True):
-            own, inverse, counts = np.unique(label[s:e], return_inverse=True, return_counts=True)
-            if len(own) < 2:
-                continue
-            order = np.lexsort((node[s:e], inverse, counts[inverse])) + s
-            for i in range(pivots):
-                j = order[i + 1 :]
-                j = j[possible(np.full(len(j), order[i]), j)]
-                if len(j):
-                    yield rows(0, region[j], np.full(len(j), node[order[i]]), node[j], n[j])
-            rest = order[pivots:]
-            yield rows(1, region[rest], node[rest], node[rest], n[rest])
-
-    return members.repartition("region").mapInArrow(deal, "kind long, region long, a long, b long, n long")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(tidy(of), f"doc_id {kind}, row_key long, n long, node long, keys array<long>, sketch binary")
 
 
 def _bitmap(slots: DataFrame) -> bytes:
@@ -257,7 +135,7 @@ def measured(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stash: Stash
                 yield pa.RecordBatch.from_arrays([pa.array(node[full]), pa.array([found.of(i).tobytes() for i in full], pa.binary())], ["node", "set"])
 
     texts = docs.select(doc_slot.alias("slot"), "text")
-    own = texts.mapInArrow(sets, "node long, set binary").join(need.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    own = texts.mapInArrow(tidy(sets), "node long, set binary").join(need.select("node"), "node", "left_semi").dropDuplicates(["node"])
     own = stash.keep(own, "sets")
     a, b = (own.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in ("a", "b"))
 
@@ -275,51 +153,53 @@ def measured(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stash: Stash
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
 
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-    out = stash.keep(joined.mapInArrow(overlap, "a long, b long, both long, either long"), "measured")
+    out = stash.keep(joined.mapInArrow(tidy(overlap), "a long, b long, both long, either long"), "measured")
     stash.drop(own, need)
     return out
 
 
-def groups(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame:
+def groups(docs: DataFrame, stash: Stash, similar: int = 80, whole_rows: bool = False) -> DataFrame:
     """Per row of ``docs``: ``doc_id, row_key, n_shingles, node, label, component_id``; ``label`` names the group whatever its ids (null without words).
 
     Rows link when their shingle sets have a Jaccard similarity of ``similar`` % or more; ``component_id`` is the
     smallest id reachable. Equal sets are one node, so copies are compared once. Texts without words (null, empty,
     blank) link with nothing: component_id is their own id, also where such rows repeat. Ids may repeat: rows with
-    one text are then one node, others are told apart by text (``row_key`` is a 64-bit hash of the text). An empty table
-    gives an empty result; other columns are not read.
+    one text are then one node, others are told apart by text (``row_key`` is a 64-bit hash of the text, with ``whole_rows``
+    of all columns). An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
+    docs = docs.select("doc_id", F.xxhash64(*(docs.columns if whole_rows else ["text"])).alias("row_key"), "text")
     table = spark.sparkContext.broadcast(common_shingles(docs))
     rows = stash.keep(nodes(docs, table, similar), "nodes")
     full = rows.filter("n > 0")
-    classes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = full.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select(F.explode("keys").alias("region"), "node", "n")
     sketched = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    keyed = classes.select(F.explode("keys").alias("region"), "node", "n")
-    members = stash.keep(first_regions(keyed, similar), "members")
     classes = stash.keep(sketched, "classes")
-    pairs = members.filter("pivot is not null and pivot <> node").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
-    pairs = stash.keep(plausible(pairs, classes, similar), "pairs")
-    seen = measured(pairs, classes, docs, stash)
-    linked = F.col("both") * 100 >= F.col("either") * similar
-    links = seen.filter(linked).select("a", "b")
-    label = stash.keep(labels(links, stash), "label")
-    far = seen.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
-    tried = members.filter("pivot is null or pivot <> node").withColumns({"a": F.greatest("node", "pivot"), "b": F.least("node", "pivot")})
-    left = tried.join(far, ["a", "b"], "left").select("region", "node", "n", "far")
-    pivots = PIVOTS
+    met = regions(keyed, similar).join(classes.select("node", "sketch"), "node")
+    members = stash.keep(met.withColumns({"rank": F.col("node"), "seeks": F.lit(True)}), "members")
+    left, cap = members.withColumn("label", F.col("node")), 1
+    links = label = tried = None
     while True:
-        named = left.join(label, "node", "left").select("region", "node", "n", F.coalesce("label", "node").alias("label"), "far")
-        step = stash.keep(recursed(named, similar, pivots), "level")
-        pairs = stash.keep(plausible(step.filter("kind = 0"), classes, similar), "pairs")
-        pivots *= GROWTH
-        if not pairs.limit(1).count() and not step.filter("kind = 1").limit(1).count():
+        step = stash.keep(partners(left, similar, cap), "level")
+        pairs = step.filter("kind = 0").select(F.greatest("earlier", "later").alias("a"), F.least("earlier", "later").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stash.keep(pairs, "pairs")
+        if pairs.limit(1).count():
+            seen = measured(pairs, classes, docs, stash)
+            new = seen.filter(F.col("both") * 100 >= F.col("either") * similar).select("a", "b")
+            links = new if links is None else stash.keep(links.unionByName(new), "links")
+            label = stash.keep(labels(links, stash), "label")
+            tried = pairs if tried is None else stash.keep(tried.unionByName(pairs), "tried")
+        still = step.filter("kind = 1").select("region").distinct()
+        if label is None or not still.limit(1).count():
             break
-        links = stash.keep(links.unionByName(measured(pairs, classes, docs, stash).filter(linked).select("a", "b")), "links")
-        label = stash.keep(labels(links, stash), "label")
-        left = step.filter("kind = 1").select("region", F.col("a").alias("node"), "n", F.lit(None).cast("double").alias("far"))
-    named = classes.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+        cap *= GROWTH
+        left = members.join(still, "region", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if label is None:
+        named = classes.select("node", "doc_id", F.col("node").alias("label"))
+    else:
+        named = classes.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(least, "label").select("node", "label", "component_id")
     out = rows.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
@@ -330,16 +210,18 @@ def one_of_each(docs: DataFrame, stash: Stash, similar: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, of which each group of linked documents keeps its smallest id.
 
     Groups are told apart by their texts, so unlinked texts without an id, or of one id, all stay; a null id counts as
-    the largest. Whole rows that repeat count as copies: one stays. Texts without words all stay (a repeated row once).
+    the largest. Of rows with one id and equal words, the one with the smallest hash of all columns stays; whole rows that
+    repeat count as copies. Texts without words all stay (a repeated row once). Any other columns are kept as they are.
     """
-    ids = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_id")
-    found = stash.keep(groups(docs, stash, similar), "groups")
-    found = found.withColumn("_id", ids("doc_id"))
-    blank = found.filter("n_shingles = 0").select("_id", F.col("row_key").alias("_key"))
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_key", "_id"))
-    best = found.filter("n_shingles > 0").groupBy("label").agg(first.alias("f")).select("f._id", F.col("f.row_key").alias("_key"))
+    found = stash.keep(groups(docs, stash, similar, whole_rows=True), "groups")
+    name, key = spare(docs, "name", "key")
+    ids = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(name)
+    blank = found.filter("n_shingles = 0").select(ids("doc_id"), F.col("row_key").alias(key))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_key"))
+    best = found.filter("n_shingles > 0").groupBy("label").agg(first.alias("f")).select(ids("f.doc_id"), F.col("f.row_key").alias(key))
     best = best.unionByName(blank).distinct()
-    out = docs.withColumns({"_id": ids("doc_id"), "_key": F.xxhash64("text")}).join(best.hint("shuffle_hash"), ["_id", "_key"], "left_semi")
+    out = docs.withColumns({name: F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), key: F.xxhash64(*docs.columns)})
+    out = out.join(best.hint("shuffle_hash"), [name, key], "left_semi")
     if found.groupBy("doc_id", "row_key").count().filter("count > 1").limit(1).count():  # whole rows repeat
-        out = out.dropDuplicates(["_id", "_key"])
+        out = out.dropDuplicates([name, key])
     return out.select(*docs.columns)

@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlens.llm.arrowtext import byte_slices
+from hazardlens.llm.arrowtext import byte_slices, tidy
+from hazardlens.llm.exprs import spare
 from hazardlens.llm.io import Stash
-from hazardlens.llm.jaccard_join import _binaries, _columns, _lists, common_shingles, measured, pairs_within, plausible
+from hazardlens.llm.jaccard_join import GROWTH, _lists, common_shingles, measured
+from hazardlens.llm.regions import partners, regions
 from hazardlens.llm.shingles import K, rare_prefixes, shingle_sets
 
-#: Earliest lines of a token that the others are compared with in the first round, and the factor for each further one.
-PROVIDERS, GROWTH = 64, 8
-#: Bits of a line's parity sketch.
+#: Bits of a line's parity sketch at least.
 SKETCH = 256
 
 
@@ -32,12 +32,13 @@ def units_of_lines(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def lines(docs: DataFrame, table, similar: int, short: bool = False) -> DataFrame:
-    """A row per line of five words or more (with ``short``, of one or more): ``doc_id, row_key, line, n, node, keys, places``.
+    """A row per line of five words or more (with ``short``, of one or more): ``doc_id, row_key, line, n, node, keys, sketch``.
 
-    Lines under five words have no keys: their one shingle is equal only where the node is.
+    Lines under five words have no keys: their one shingle is equal only where the node is. ``keys`` are the tokens of the
+    line's prefix in their order; they and the sketch go out once a slice for lines that repeat in it.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "row_key", "line", "n", "node", "keys", "places", "sketch", "wide"]
+    names = ["doc_id", "row_key", "line", "n", "node", "keys", "sketch"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(table.value, np.uint8)
@@ -45,24 +46,23 @@ def lines(docs: DataFrame, table, similar: int, short: bool = False) -> DataFram
             for a, b, raw, offsets in byte_slices(batch):
                 at = units_of_lines(raw, offsets)
                 sets = shingle_sets(raw, at)
-                unit, h, place = rare_prefixes(sets, level, similar)
+                digests = sets.digests()
                 doc = np.searchsorted(offsets, at[:-1], "right") - 1
                 line = np.arange(len(at) - 1) - np.searchsorted(at, offsets[doc])
                 five = _five_words(raw, at)
-                long = sets.sizes > 0 if short else five
-                use = np.flatnonzero(long)
-                keep = five & _first_of_each(sets.digests())  # keys go out once a slice for lines that repeat in it
-                keep = keep[unit]
-                renumbered = np.cumsum(long) - 1
-                unit, h, place = renumbered[unit[keep]], h[keep], place[keep]
-                wide = sets.sketches(SKETCH, larger_only=True)
+                use = np.flatnonzero(sets.sizes > 0 if short else five)
+                keep = five & _first_of_each(digests)
+                unit, h, _ = rare_prefixes(sets, level, similar, keep)
+                place = np.full(len(at) - 1, -1)
+                place[use] = np.arange(len(use))
                 ids = batch.slice(a, b - a).take(pa.array(doc[use]))
+                sketch = sets.sketches(SKETCH, keep)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.column(0), ids.column(1), pa.array(line[use]), pa.array(sets.sizes[use]), pa.array(sets.digests()[use].view(np.int64)),
-                     _lists(h, unit, len(use)), _lists(place, unit, len(use)), _binaries(sets.parities(SKETCH)[use]), pa.array([wide[i] for i in use], pa.binary())], names)
+                    [ids.column(0), ids.column(1), pa.array(line[use]), pa.array(sets.sizes[use]), pa.array(digests[use].view(np.int64)),
+                     _lists(h, place[unit], len(use)), pa.array([sketch[i] for i in use], pa.binary())], names)
 
-    schema = f"doc_id {kind}, row_key long, line long, n long, node long, keys array<long>, places array<long>, sketch binary, wide binary"
-    return docs.select("doc_id", "row_key", "text").mapInArrow(of, schema)
+    schema = f"doc_id {kind}, row_key long, line long, n long, node long, keys array<long>, sketch binary"
+    return docs.select("doc_id", "row_key", "text").mapInArrow(tidy(of), schema)
 
 
 def _first_of_each(digests: np.ndarray) -> np.ndarray:
@@ -81,58 +81,6 @@ def _five_words(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0, np.cumsum(begins))[at]) >= K
 
 
-def candidates(members: DataFrame, similar: int, providers: int) -> DataFrame:
-    """``kind`` 0: pairs to measure, ``later`` and ``earlier``; ``kind`` 1: what is left for another round.
-
-    ``members``: ``token, node, n, place, born (order of first lines), open``: whether an earlier similar line is
-    still sought. The earliest lines of a token are compared with all later ones that seek, then leave.
-    """
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        c = _columns(held, ["token", "node", "n", "place", "born", "open"])
-        if not len(c["token"]):
-            return
-        sketch = np.concatenate([np.frombuffer(b"".join(x.column(x.schema.get_field_index("sketch")).to_pylist()), np.uint64) for x in held]).reshape(len(c["token"]), -1)
-        order = np.lexsort((c["born"], c["token"]))
-        token, node, n, place, born, seeks = (c[k][order] for k in ("token", "node", "n", "place", "born", "open"))
-        at = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-        size = np.diff(at)
-
-        def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            """Which of the earlier lines i and later lines j may be similar: by length, place, and parity sketch."""
-            both = n[i] + n[j]
-            least = -(-similar * both // (100 + similar))
-            overlap = np.minimum(n[i] - place[i], n[j] - place[j])  # at most, if this is their first common token
-            ok = seeks[j] & (100 * np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j])) & (overlap >= least)
-            k = np.flatnonzero(ok)
-            differ = np.bitwise_count(sketch[order[i[k]]] ^ sketch[order[j[k]]]).sum(axis=1, dtype=np.int64)
-            ok[k] = differ * (100 + similar) <= both[k] * (100 - similar)
-            return ok
-
-        def rows(kind: int, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            cols = (np.full(len(j), kind), token[j], node[j], node[i], n[j], place[j], born[j])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["kind", "token", "later", "earlier", "n", "place", "born"])
-
-        for i, j in pairs_within(token, at, providers):
-            ok = possible(i, j)
-            if ok.any():
-                yield rows(0, i[ok], j[ok])
-        for s, e in zip(at[:-1][size > providers], at[1:][size > providers], strict=True):
-            for p in range(s, s + providers):
-                j = np.arange(p + 1, e)
-                i = np.full(len(j), p)
-                ok = possible(i, j)
-                if ok.any():
-                    yield rows(0, i[ok], j[ok])
-            if seeks[s + providers : e].any():
-                j = np.arange(s + providers, e)
-                yield rows(1, j, j)
-
-    schema = "kind long, token long, later long, earlier long, n long, place long, born long"
-    return members.repartition("token").mapInArrow(deal, schema)
-
-
 def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80, short: bool = False) -> DataFrame:
     """``doc_id, row_key, line`` (from 0) of the lines to remove; ``row_key`` is a 64-bit hash of the text.
 
@@ -143,86 +91,64 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80, short: bool
     docs = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     table = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, units_of_lines))
     found = stash.keep(lines(docs, table, similar, short), "lines")
-    place = F.struct("doc_id", "row_key", "line")
-    firsts = found.groupBy("node").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
-    classes = stash.keep(firsts.select("node", "first.*", "n", "sketch", "wide"), "firsts")
-    firsts = classes.drop("n", "sketch", "wide")
-    ranked = stash.keep(_numbered(classes), "ranked")
-    keyed = found.select("node", "n", F.explode(F.arrays_zip("keys", "places")).alias("k"))
-    keyed = keyed.select(F.col("k.keys").alias("token"), "node", (F.shiftleft("n", 32) + F.col("k.places")).alias("size_place"))
-    shared = _shared(keyed).select("token", "node", F.shiftright("size_place", 32).alias("n"), (F.col("size_place") % (1 << 32)).alias("place"))
-    members = stash.keep(shared.join(ranked, "node").withColumn("open", F.lit(True)), "members")
-    similar_to, providers = None, PROVIDERS
+    rank = F.struct("doc_id", "row_key", "line")
+    firsts = stash.keep(found.groupBy("node").agg(F.min(rank).alias("rank")), "firsts")
+    keyed = found.filter(F.size("keys") > 0)
+    sketched = keyed.groupBy("node").agg(F.first("sketch").alias("sketch")).join(firsts, "node")
+    keyed = keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = keyed.select("node", "n", F.posexplode("keys").alias("place", "region"))
+    met = regions(keyed.withColumn("place", F.col("place").cast("long")), similar, placed=True)
+    members = stash.keep(met.join(sketched, "node").withColumn("label", F.col("node")), "members")
+    owner = firsts.select("node", F.col("rank.doc_id").alias("doc_id"))
+    left, cap = members.withColumn("seeks", F.lit(True)), 1
+    hit = tried = None
     while True:
-        step = stash.keep(candidates(members, similar, providers), "level")
-        providers *= GROWTH
-        pairs = stash.keep(step.filter("kind = 0").select(F.greatest("later", "earlier").alias("a"), F.least("later", "earlier").alias("b"), "later").distinct(), "pairs")
+        step = stash.keep(partners(left, similar, cap, placed=True), "level")
+        pairs = step.filter("kind = 0").select(F.greatest("earlier", "later").alias("a"), F.least("earlier", "later").alias("b"), "later").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stash.keep(pairs, "pairs")
         if pairs.limit(1).count():
-            near = stash.keep(plausible(pairs, classes.withColumn("sketch", F.coalesce("wide", "sketch")), similar), "near")
-            seen = measured(near, firsts, docs, stash, units_of_lines)
+            seen = measured(pairs.select("a", "b"), owner, docs, stash, units_of_lines)
             linked = seen.filter(F.col("both") * 100 >= F.col("either") * similar).select("a", "b")
-            hit = pairs.join(linked, ["a", "b"]).select(F.col("later").alias("node")).distinct()
-            similar_to = stash.keep(hit if similar_to is None else similar_to.unionByName(hit).distinct(), "hit")
-        left = step.filter("kind = 1").select("token", F.col("later").alias("node"), "n", "place", "born")
-        if not left.limit(1).count():
+            new = pairs.join(linked, ["a", "b"]).select(F.col("later").alias("node")).distinct()
+            hit = stash.keep(new if hit is None else hit.unionByName(new).distinct(), "hit")
+            tried = pairs.select("a", "b") if tried is None else stash.keep(tried.unionByName(pairs.select("a", "b")), "tried")
+        still = step.filter("kind = 1").select("region").distinct()
+        if hit is None or not still.limit(1).count():
             break
-        left = left.join(ranked.select("node", "sketch"), "node")
-        if similar_to is None:
-            members = left.withColumn("open", F.lit(True))
-        else:
-            members = left.join(similar_to.withColumn("done", F.lit(True)), "node", "left").withColumn("open", F.col("done").isNull()).drop("done")
-    again = found.select("doc_id", "row_key", "line", "node").join(
-        firsts.withColumnsRenamed({"doc_id": "d", "row_key": "k", "line": "l"}), "node"
-    )
-    later = ~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k")) & (F.col("line") == F.col("l")))
-    if similar_to is None:
+        cap *= GROWTH
+        done = hit.withColumn("done", F.lit(True))
+        left = members.join(still, "region", "left_semi").join(done, "node", "left").withColumn("seeks", F.col("done").isNull())
+    again = found.select("doc_id", "row_key", "line", "node").join(firsts, "node")
+    later = ~(F.col("doc_id").eqNullSafe(F.col("rank.doc_id")) & (F.col("row_key") == F.col("rank.row_key")) & (F.col("line") == F.col("rank.line")))
+    if hit is None:
         out = again.filter(later)
     else:
-        out = again.join(similar_to.withColumn("hit", F.lit(True)), "node", "left").filter(later | F.col("hit"))
+        out = again.join(hit.withColumn("hit", F.lit(True)), "node", "left").filter(later | F.col("hit"))
     return out.select("doc_id", "row_key", "line")
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed``, one for each token and node, whose token another node has too."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _columns(batches, ["token", "node", "size_place"])
-        if not len(c["token"]):
-            return
-        order = np.lexsort((c["node"], c["token"]))
-        token, node, size_place = (c[k][order] for k in ("token", "node", "size_place"))
-        new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-        token, node, size_place = token[new], node[new], size_place[new]
-        same = np.append(token[1:] == token[:-1], False)
-        use = same | np.append(False, same[:-1])
-        cols = [x[use] for x in (token, node, size_place)]
-        for i in range(0, int(use.sum()), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in cols], ["token", "node", "size_place"])
-
-    return keyed.repartition("token").mapInArrow(deal, "token long, node long, size_place long")
-
-
-def _numbered(firsts: DataFrame) -> DataFrame:
-    """``node, sketch, born``: a number in the order of the first lines, by range partitions (no single-task sort)."""
-    dealt = firsts.repartitionByRange("doc_id", "row_key", "line").sortWithinPartitions("doc_id", "row_key", "line")
-    return dealt.select("node", "sketch", F.monotonically_increasing_id().alias("born"))
-
-
-def without_repeats(docs: DataFrame, stash: Stash, similar: int = 80, short: bool = False) -> DataFrame:
-    """``docs``, all columns and rows, its text without the removed lines, plus ``n_lines`` and ``n_removed``.
+def without_repeats(docs: DataFrame, stash: Stash, similar: int = 80, short: bool = False, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs``, all columns and rows, its text without the removed lines, plus two columns named by ``counts``: lines, and removed ones.
 
     Lines end at line feeds; what stays is joined by line feeds again. A null text stays null and has 0 lines; texts
-    from which nothing goes are unchanged. With ``short``, lines of one to four words take part.
+    from which nothing goes are unchanged. With ``short``, lines of one to four words take part. Input columns of
+    those names give way to the new ones.
     """
-    gone = removed_lines(docs, stash, similar, short).distinct().groupBy("doc_id", "row_key").agg(F.collect_list(F.col("line").cast("int")).alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), "_gone")
-    own = docs.withColumn("_row_key", F.xxhash64("text"))
+    own = [c for c in docs.columns if c not in counts]
+    docs = docs.select(*own)
+    doc, key, row_key, mask, removed = spare(docs, "doc", "key", "row_key", "mask", "removed")
+    gone = removed_lines(docs, stash, similar, short).distinct().groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("at"))
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("at", i - 1))
+    upto = lambda at, i: F.concat(F.array_repeat(F.lit(True), at - before(i) - 1), F.array(F.lit(False)))
+    # one flag for each line up to the last that goes, so that the work is in proportion to the lines
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.flatten(F.transform("at", upto)).alias(mask), F.size("at").alias(removed))
+    out = docs.withColumn(row_key, F.xxhash64("text"))
     # the lists are small beside the texts: hashed, so that the texts needn't be sorted
-    out = own.join(gone.hint("shuffle_hash"), own["doc_id"].eqNullSafe(gone["_doc"]) & (own["_row_key"] == gone["_key"]), "left")
-    parts = F.split(F.col("text"), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    names = [own[c] if c != "text" else text.alias("text") for c in docs.columns]
-    return out.select(*names, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    out = out.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(row_key) == F.col(key)), "left")
+    kept = F.zip_with(F.split("text", "\n"), mask, lambda x, stays: F.when(F.coalesce(stays, F.lit(True)), x))
+    text = F.when(F.col(mask).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    names = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in own]
+    return out.select(*names, n_lines.alias(counts[0]), F.coalesce(removed, F.lit(0)).cast("long").alias(counts[1]))

@@ -13,8 +13,6 @@ import numpy as np
 
 K = 5
 _rng = np.random.default_rng(20240229)
-_WORD = np.ones(256, bool)
-_WORD[[32, 9, 10, 11, 12, 13]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,14 +30,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Powers are kept between calls up to so many; those for longer texts are given back.
+KEPT_POWERS = 1 << 18
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0..n-1 and its inverse's, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _UNBASE)):
-            p = np.full(max(n, 1 << 16), np.uint64(base), np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_BASE, _UNBASE):
+        p = np.full(max(n, 1 << 16), np.uint64(base), np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p))
+    if n <= KEPT_POWERS:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 @dataclass
@@ -66,22 +72,18 @@ class Sets:
             out[full] = mixed(sums + self.sizes[full].astype(np.uint64) * _PLACE[0]) | np.uint64(1)
         return out
 
+    def sketches(self, least: int, only: np.ndarray | None = None) -> list[bytes | None]:
+        """A parity row for each set: whether an odd number of shingles has each value of the hash's low bits.
 
-    def parities(self, bits: int) -> np.ndarray:
-        """A row of ``bits`` bits for each set: parities of how many shingles have each value of the hash's low bits.
-
-        Two rows differ in no more bits than the sets differ in elements, so the map shortens no symmetric difference.
+        Two rows of equal width differ in no more bits than the sets differ in elements. A row has ``least`` bits, or for larger
+        sets the power of two from twice their size on. Sets that are not among ``only`` have none.
         """
-        return _parities(self.unit, self.hashes, len(self.starts) - 1, bits)
-
-    def sketches(self, least: int, larger_only: bool = False) -> list[bytes | None]:
-        """Parity rows of ``least`` bits (None if ``larger_only``), or for larger sets of the power of two from half their size on."""
         n = self.sizes
-        bits = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+        bits = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(n, 1) * 2)).astype(np.int64))
         out: list[bytes | None] = [None] * len(n)
-        for size in np.unique(bits):
-            if larger_only and size == least:
-                continue
+        if only is not None:
+            bits[~only] = 0
+        for size in np.unique(bits[bits > 0]):
             own = np.flatnonzero(bits == size)
             place = np.full(len(n), -1)
             place[own] = np.arange(len(own))
@@ -96,14 +98,10 @@ def _parities(unit: np.ndarray, hashes: np.ndarray, n: int, bits: int) -> np.nda
     return np.packbits((np.bincount(slot, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits), axis=1)
 
 
-def differing(x: bytes, y: bytes) -> int:
-    """Bits in which two sketches differ, the longer folded to the shorter: low bits of the hash have both parities' sum."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+def _by_unit(unit: np.ndarray, value: np.ndarray, n_units: int) -> np.ndarray:
+    """One sort key for unit and hash; it holds the unit and the hash's top bits (47 or more of them in slices of 128 KB)."""
+    bits = np.uint64(max(1, int(n_units).bit_length()))
+    return (unit.astype(np.uint64) << (np.uint64(64) - bits)) | (value >> bits)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Sets:
@@ -112,7 +110,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Sets:
     none = Sets(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n_units + 1, np.int64))
     if not n:
         return none
-    is_word = _WORD[raw]
+    is_word = (raw != 32) & ((raw < 9) | (raw > 13))
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     begins = is_word.copy()
@@ -139,7 +137,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Sets:
     head[first[:-1][counts > 0]] = True
     use = (left >= K) | head
     value, unit = value[use], unit[use]
-    order = np.lexsort((value, unit))
+    order = np.argsort(_by_unit(unit, value, n_units))
     value, unit = value[order], unit[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (unit[1:] != unit[:-1])
@@ -161,15 +159,17 @@ def rarity_table(common: list[tuple[int, int]]) -> bytes:
     return out.tobytes()
 
 
-def rare_prefixes(sets: Sets, table: np.ndarray, similar: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(unit, hash, position)`` of each unit's first ``n - ceil(similar * n / 100) + 1`` shingles, rare ones first.
+def rare_prefixes(sets: Sets, table: np.ndarray, similar: int = 80, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(unit, hash, position)`` of each unit's (of those in ``only``) first ``n - ceil(similar * n / 100) + 1`` shingles, rare ones first.
 
     Two sets with a Jaccard similarity of ``similar`` % or more have one of these in common, as both follow one order.
     """
     level = table[(sets.hashes >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)]
-    order = np.lexsort((sets.hashes, level, sets.unit))
+    order = np.argsort(sets.unit * 64 + level, kind="stable")  # hashes are sorted within units
     unit, h = sets.unit[order], sets.hashes[order]
     n = sets.sizes[unit]
     at = np.arange(len(unit)) - sets.starts[unit]
     use = at < n - -(-similar * n // 100) + 1
+    if only is not None:
+        use &= only[unit]
     return unit[use], h[use], at[use]

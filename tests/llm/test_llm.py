@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from hazardlens.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, secret_scan, suffix_dedup, toxicity
 from hazardlens.llm.io import Stash
-from hazardlens.llm.shingles import differing, shingle_sets
+from hazardlens.llm import regions
+from hazardlens.llm.shingles import shingle_sets
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, node long, digest string, id long"
@@ -66,8 +67,9 @@ def test_jaccard_join(spark, corpus):
 
 
 def test_jaccard_join_large_regions(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
-    monkeypatch.setattr(jaccard_join, "GROWTH", 1)
+    monkeypatch.setattr(regions, "SMALL", 2)
+    monkeypatch.setattr(regions, "CELL", 4)
+    monkeypatch.setattr(jaccard_join, "GROWTH", 2)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(40)]
     docs = []
@@ -92,19 +94,58 @@ def test_one_of_each_by_group(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [d for d in docs if d[0] != 6]))
 
 
+def _shared_passage(n, rng):
+    passage = [f"p{i}" for i in range(85)]
+    return [(i, " ".join([*passage, *[f"u{i}x{j}" for j in range(14 + rng.randint(0, 2))]])) for i in range(n)]
+
+
+def test_jaccard_join_of_a_shared_passage(spark):
+    """2,000 texts that share a passage but don't link, and copies of some with a word changed; all in the same regions."""
+    rng = random.Random(5)
+    docs = _shared_passage(2000, rng)
+    copies = [(5000 + i, docs[i][1].replace("p84", "q")) for i in range(0, 2000, 50)]
+    copies += [(9000 + i, docs[7][1].replace(f"u7x{2 + i % 8}", f"z{i}")) for i in range(120)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.groups(frame(spark, docs + copies), Stash(spark, "t")).collect()}
+    want = {i: i for i, _ in docs} | {i: i - 5000 if i < 9000 else 7 for i, _ in copies}
+    assert got == want
+
+
+def test_cells_lose_no_pair():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (8, 4), dtype=np.uint64)
+    flips = lambda: (rng.random((8, 125, 256)) < 0.02).astype(np.uint8)
+    rows = base[:, None, :] ^ np.packbits(flips(), axis=2).view(np.uint64)
+    rows = rows.reshape(-1, 4)
+    n = np.full(len(rows), 100)
+    sketches = regions.Sketches([r.tobytes() for r in rows])
+    every = np.arange(len(rows))
+    reach = np.full(len(rows), 12)
+    parts = list(regions.cells(sketches, reach, every, every))
+    assert len(parts) > 1 and sorted(np.concatenate([c for c, _ in parts]).tolist()) == every.tolist()
+    cell = {int(i): set(m.tolist()) for c, m in parts for i in c}
+    for i in range(0, len(rows), 7):
+        near = np.flatnonzero(sketches.apart(i, every) <= 12)
+        assert set(near.tolist()) <= cell[i]
+    at = np.array([0, len(rows)])
+    pairs = {(int(a), int(b)) for i, j, _ in regions.found(at, n, sketches, lambda i, j: j >= 0, n > 0, 80, 10**6) for a, b in zip(i, j, strict=True)}
+    d = np.bitwise_count(rows[:, None, :] ^ rows[None, :, :]).sum(axis=2)
+    assert pairs == {(int(a), int(b)) for a, b in np.argwhere(d * 180 <= 200 * 20) if a < b}
+
+
 def test_sketches_never_exceed_the_difference():
     rng = random.Random(2)
     for n in (5, 300, 9000):
         w = [str(rng.random()) for _ in range(n)]
         v = [x if rng.random() > 0.02 else "y" for x in w] + ["more"] * (n // 9)
         s = [shingle_sets(np.frombuffer(" ".join(t).encode(), np.uint8), np.array([0, len(" ".join(t))])) for t in (w, v)]
-        a, b = (x.sketches(256)[0] for x in s)
-        assert differing(a, b) <= len(set(s[0].hashes) ^ set(s[1].hashes))
+        both = regions.Sketches([x.sketches(256)[0] for x in s])
+        assert both.apart(np.array([0]), np.array([1]))[0] <= len(set(s[0].hashes) ^ set(s[1].hashes))
 
 
-@pytest.mark.parametrize("providers", [1, 64])
-def test_line_dedup(spark, corpus, monkeypatch, providers):
-    monkeypatch.setattr(line_dedup, "PROVIDERS", providers)
+@pytest.mark.parametrize("small", [2, 64])
+def test_line_dedup(spark, corpus, monkeypatch, small):
+    monkeypatch.setattr(regions, "SMALL", small)
+    monkeypatch.setattr(regions, "CELL", 2 * small)
     got = {r.doc_id: r.text for r in line_dedup.without_repeats(frame(spark, corpus), Stash(spark, "t")).collect()}
     assert got == brute.kept_lines(corpus)
 
@@ -115,6 +156,15 @@ def test_line_dedup_of_short_lines(spark):
     assert got == {1: docs[0][1], 2: "\n  \na b c\nxyz", 3: "a b c d e"}
 
 
+def test_line_dedup_of_a_hot_token(spark):
+    """Hundreds of lines that share a passage: some similar to an earlier line, most to none."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(14))
+    docs = [(i, "\n".join(f"{passage} " + " ".join(f"w{rng.randrange(60)}" for _ in range(4)) for _ in range(5))) for i in range(80)]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(frame(spark, docs), Stash(spark, "t")).collect()}
+    assert got == brute.kept_lines(docs)
+
+
 def test_mixing(spark, corpus):
     docs = frame(spark, corpus, ["b", "a", None, "c"])
     rows = mixing.mix(docs, Stash(spark, "t")).collect()
