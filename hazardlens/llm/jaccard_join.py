@@ -35,7 +35,7 @@ from hazardlens.llm.shingles import COMMON, Sets, rare_prefixes, rarity_table, s
 GROWTH = 8
 #: Shingles are called common from this count in a block of BLOCK shingles on, and in all.
 IN_BLOCK, IN_ALL, BLOCK = 4, 32, 1 << 21
-#: Bits of a set's parity sketch at least; sets of more than half as many shingles have larger ones.
+#: Bits of a set's parity sketch at least; larger sets have larger ones.
 SKETCH = 256
 #: Slots of the fixed-size bitmap (8 MB) that spares unneeded texts before an exact join.
 BITS_LOG2 = 26
@@ -158,6 +158,12 @@ def measured(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stash: Stash
     return out
 
 
+def _of_several_labels(members: DataFrame) -> DataFrame:
+    """Rows of the regions with more than one label; in others all are linked already."""
+    ends = members.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    return members.join(ends.filter("a <> b").select("region"), "region", "left_semi")
+
+
 def groups(docs: DataFrame, stash: Stash, similar: int = 80, whole_rows: bool = False) -> DataFrame:
     """Per row of ``docs``: ``doc_id, row_key, n_shingles, node, label, component_id``; ``label`` names the group whatever its ids (null without words).
 
@@ -172,15 +178,16 @@ def groups(docs: DataFrame, stash: Stash, similar: int = 80, whole_rows: bool =
     table = spark.sparkContext.broadcast(common_shingles(docs))
     rows = stash.keep(nodes(docs, table, similar), "nodes")
     full = rows.filter("n > 0")
-    keyed = full.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select(F.explode("keys").alias("region"), "node", "n")
+    keyed = full.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = keyed.select(F.posexplode("keys").alias("place", "region"), "node", F.col("n").cast("int").alias("n"))
     sketched = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = stash.keep(sketched, "classes")
-    met = regions(keyed, similar).join(classes.select("node", "sketch"), "node")
-    members = stash.keep(met.withColumns({"rank": F.col("node"), "seeks": F.lit(True)}), "members")
-    left, cap = members.withColumn("label", F.col("node")), 1
+    met = stash.keep(regions(keyed, similar), "met")
+    sketches = classes.select("node", "sketch")
+    left, cap = met, 1
     links = label = tried = None
     while True:
-        step = stash.keep(partners(left, similar, cap), "level")
+        step = stash.keep(partners(left.join(sketches, "node"), similar, cap), "level")
         pairs = step.filter("kind = 0").select(F.greatest("earlier", "later").alias("a"), F.least("earlier", "later").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -195,7 +202,10 @@ def groups(docs: DataFrame, stash: Stash, similar: int = 80, whole_rows: bool =
         if label is None or not still.limit(1).count():
             break
         cap *= GROWTH
-        left = members.join(still, "region", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ones = met.join(still, "region", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        left = stash.keep(_of_several_labels(open_ones), "open")
+        if not left.limit(1).count():
+            break
     if label is None:
         named = classes.select("node", "doc_id", F.col("node").alias("label"))
     else:

@@ -49,13 +49,13 @@ def lines(docs: DataFrame, table, similar: int, short: bool = False) -> DataFram
                 digests = sets.digests()
                 doc = np.searchsorted(offsets, at[:-1], "right") - 1
                 line = np.arange(len(at) - 1) - np.searchsorted(at, offsets[doc])
-                five = _five_words(raw, at)
+                five = sets.words >= K
                 use = np.flatnonzero(sets.sizes > 0 if short else five)
                 keep = five & _first_of_each(digests)
                 unit, h, _ = rare_prefixes(sets, level, similar, keep)
                 place = np.full(len(at) - 1, -1)
                 place[use] = np.arange(len(use))
-                ids = batch.slice(a, b - a).take(pa.array(doc[use]))
+                ids = batch.select(["doc_id", "row_key"]).slice(a, b - a).take(pa.array(doc[use]))
                 sketch = sets.sketches(SKETCH, keep)
                 yield pa.RecordBatch.from_arrays(
                     [ids.column(0), ids.column(1), pa.array(line[use]), pa.array(sets.sizes[use]), pa.array(digests[use].view(np.int64)),
@@ -71,16 +71,6 @@ def _first_of_each(digests: np.ndarray) -> np.ndarray:
     return out
 
 
-def _five_words(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    if not len(raw):
-        return np.zeros(len(at) - 1, bool)
-    word = (raw != 32) & ((raw < 9) | (raw > 13))
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    begins[at[:-1]] = word[at[:-1]]
-    return np.diff(np.append(0, np.cumsum(begins))[at]) >= K
-
-
 def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80, short: bool = False) -> DataFrame:
     """``doc_id, row_key, line`` (from 0) of the lines to remove; ``row_key`` is a 64-bit hash of the text.
 
@@ -96,14 +86,14 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80, short: bool
     keyed = found.filter(F.size("keys") > 0)
     sketched = keyed.groupBy("node").agg(F.first("sketch").alias("sketch")).join(firsts, "node")
     keyed = keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = keyed.select("node", "n", F.posexplode("keys").alias("place", "region"))
-    met = regions(keyed.withColumn("place", F.col("place").cast("long")), similar, placed=True)
-    members = stash.keep(met.join(sketched, "node").withColumn("label", F.col("node")), "members")
+    keyed = keyed.select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("place", "region"))
+    met = stash.keep(regions(keyed, similar), "met")
+    sketches = stash.keep(sketched, "sketches")
     owner = firsts.select("node", F.col("rank.doc_id").alias("doc_id"))
-    left, cap = members.withColumn("seeks", F.lit(True)), 1
+    left, cap = met, 1
     hit = tried = None
     while True:
-        step = stash.keep(partners(left, similar, cap, placed=True), "level")
+        step = stash.keep(partners(left.join(sketches, "node"), similar, cap), "level")
         pairs = step.filter("kind = 0").select(F.greatest("earlier", "later").alias("a"), F.least("earlier", "later").alias("b"), "later").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -119,7 +109,11 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80, short: bool
             break
         cap *= GROWTH
         done = hit.withColumn("done", F.lit(True))
-        left = members.join(still, "region", "left_semi").join(done, "node", "left").withColumn("seeks", F.col("done").isNull())
+        left = met.join(still, "region", "left_semi").join(done, "node", "left").withColumn("seeks", F.col("done").isNull())
+        some = left.groupBy("region").agg(F.max("seeks").alias("some")).filter("some").select("region")
+        left = stash.keep(left.drop("done").join(some, "region", "left_semi"), "open")
+        if not left.limit(1).count():
+            break
     again = found.select("doc_id", "row_key", "line", "node").join(firsts, "node")
     later = ~(F.col("doc_id").eqNullSafe(F.col("rank.doc_id")) & (F.col("row_key") == F.col("rank.row_key")) & (F.col("line") == F.col("rank.line")))
     if hit is None:

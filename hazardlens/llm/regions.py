@@ -198,47 +198,51 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Rec
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def regions(keyed: DataFrame, similar: int, placed: bool = False) -> DataFrame:
-    """Regions of two sets or more, ``region, node, n`` (and ``place``); of regions with the same sets one is left.
+def regions(keyed: DataFrame, similar: int) -> DataFrame:
+    """Regions of two sets or more, ``region, node, n, place``; of regions with the same sets one is left.
 
-    ``keyed`` has ``region, node, n``, one row for each region that a node is replicated to, and with ``placed`` its place
-    in the order of the set's elements; the least is kept. A set without a neighbour in the order of sizes that its own size
-    allows leaves the region. Sorts and windows spill; nothing is held whole.
+    ``keyed`` has ``region, node, n, place``, one row for each region that a node is replicated to; ``place`` counts from 0 in
+    the order of the set's elements, and the least of a node in equal regions is kept. A set without a neighbour in the
+    order of sizes that its own size allows leaves the region; two sets alone in one leave it too if it can't be the first
+    that a linked pair has in common, as too few elements follow in either. Sorts and windows spill; nothing is held whole.
     """
-    by_size = Window.partitionBy("region").orderBy("n")
-    near = lambda small, large: F.coalesce(100 * small >= similar * large, F.lit(False))
-    own = ["node", "n", *(["place"] if placed else [])]
-    some = keyed.select("region", *own, F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
-    some = some.filter(near(F.col("less"), F.col("n")) | near(F.col("n"), F.col("more")))
+    by_size = Window.partitionBy("region").orderBy("own")
+    some = keyed.select("region", "node", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("own"))
+    around = [f("own", d).over(by_size).alias(c) for f, d, c in ((F.lag, 1, "less"), (F.lead, 1, "more"), (F.lag, 2, "least"), (F.lead, 2, "most"))]
+    n, place = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
+    sizes = lambda small, large: F.coalesce(100 * n(small) >= similar * n(large), F.lit(False))
+    rest = lambda x, y: (100 + similar) * F.least(n(x) - place(x), n(y) - place(y)) >= similar * (n(x) + n(y))
+    x, less, more = F.col("own"), F.col("less"), F.col("more")
+    two = (F.isnull("less") & F.isnull("most")) | (F.isnull("more") & F.isnull("least"))
+    near = (sizes(less, x) & (~two | rest(less, x))) | (sizes(x, more) & (~two | rest(x, more)))
+    some = some.select("region", "node", "own", *around).filter(near).select("region", "node", n(x).alias("n"), place(x).alias("place"))
     key = lambda seed: F.sum(F.shiftright(F.xxhash64("node", F.lit(seed)), 20)).over(Window.partitionBy("region"))
-    same = some.select(F.xxhash64(key(1), key(2)).alias("region"), *own)
-    return same.groupBy("region", "node").agg(F.first("n").alias("n"), *([F.min("place").alias("place")] if placed else []))
+    same = some.select(F.xxhash64(key(1), key(2)).alias("region"), "node", "n", "place")
+    return same.groupBy("region", "node").agg(F.first("n").alias("n"), F.min("place").alias("place"))
 
 
-def partners(members: DataFrame, similar: int, cap: int, placed: bool = False) -> DataFrame:
+def partners(members: DataFrame, similar: int, cap: int) -> DataFrame:
     """``kind`` 0: pairs of nodes that may be near, ``earlier`` and ``later``; ``kind`` 1: ``region`` that may have more.
 
-    ``members`` has ``region, rank, node, n, sketch, label, seeks``, and with ``placed`` ``place``: the region's key is so
-    many places from the first in the order of the set's elements, and counts as the first that both sets have. Rows of one label
-    don't look for each other. Partitions are sorted by Spark and read in chunks of whole regions.
+    ``members`` has ``region, node, n, place, sketch`` and may have ``rank`` (the order; else nodes), ``label`` (rows of one
+    label don't look for each other; else nodes) and ``seeks`` (else all do). The positional filter takes the region's key
+    for the first element that both sets have: one that isn't is met in another region. Partitions are sorted by Spark and
+    read in chunks of whole regions.
     """
     names = ["kind", "region", "earlier", "later"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, "region"):
             col = {c: chunk.column(i) for i, c in enumerate(chunk.schema.names)}
-            region, node, n, label, seeks = (col[c].to_numpy(zero_copy_only=False) for c in ("region", "node", "n", "label", "seeks"))
+            region, node, n, place = (col[c].to_numpy(zero_copy_only=False) for c in ("region", "node", "n", "place"))
+            label, seeks = (col[c].to_numpy(zero_copy_only=False) if c in col else None for c in ("label", "seeks"))
             at = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
-            place = col["place"].to_numpy(zero_copy_only=False) if placed else None
 
-            def possible(i, j, n=n, label=label, place=place) -> np.ndarray:
-                ok = label[i] != label[j]
-                if place is not None:
-                    least = -(-similar * (n[i] + n[j]) // (100 + similar))
-                    ok = ok & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
-                return ok
+            def possible(i, j, n=n, label=node if label is None else label, left=n - place) -> np.ndarray:
+                least = -(-similar * (n[i] + n[j]) // (100 + similar))
+                return (label[i] != label[j]) & (np.minimum(left[i], left[j]) >= least)
 
-            for i, j, more in found(at, n, Sketches(col["sketch"].to_pylist()), possible, seeks, similar, cap):
+            for i, j, more in found(at, n, Sketches(col["sketch"].to_pylist()), possible, np.ones(len(n), bool) if seeks is None else seeks, similar, cap):
                 for k in range(0, len(i), 100_000):
                     own = slice(k, k + 100_000)
                     cols = (np.zeros(len(i[own]), np.int64), region[j[own]], node[i[own]], node[j[own]])
@@ -247,6 +251,7 @@ def partners(members: DataFrame, similar: int, cap: int, placed: bool = False) -
                     zero = np.zeros(len(more), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero + 1, region[at[more]], zero, zero)], names)
 
-    wanted = ["region", "node", "n", "sketch", "label", "seeks", *(["place"] if placed else [])]
-    dealt = members.repartition("region").sortWithinPartitions("region", "rank").select(*wanted)
+    rank = "rank" if "rank" in members.columns else "node"
+    wanted = [c for c in ("region", "node", "n", "place", "sketch", "label", "seeks") if c in members.columns]
+    dealt = members.repartition("region").sortWithinPartitions("region", rank).select(*wanted)
     return dealt.mapInArrow(tidy(deal), "kind long, region long, earlier long, later long")

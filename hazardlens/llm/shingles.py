@@ -50,11 +50,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Sets:
-    """Shingle sets of units 0..n-1: ``hashes`` sorted within each unit, unit ``i`` at ``starts[i]:starts[i + 1]``."""
+    """Shingle sets of units 0..n-1: ``hashes`` sorted within each unit, unit ``i`` at ``starts[i]:starts[i + 1]``, of ``words[i]`` words."""
 
     hashes: np.ndarray
     unit: np.ndarray
     starts: np.ndarray
+    words: np.ndarray
 
     @property
     def sizes(self) -> np.ndarray:
@@ -76,10 +77,10 @@ class Sets:
         """A parity row for each set: whether an odd number of shingles has each value of the hash's low bits.
 
         Two rows of equal width differ in no more bits than the sets differ in elements. A row has ``least`` bits, or for larger
-        sets the power of two from twice their size on. Sets that are not among ``only`` have none.
+        sets the power of two from their size on. Sets that are not among ``only`` have none.
         """
         n = self.sizes
-        bits = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(n, 1) * 2)).astype(np.int64))
+        bits = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
         out: list[bytes | None] = [None] * len(n)
         if only is not None:
             bits[~only] = 0
@@ -107,7 +108,7 @@ def _by_unit(unit: np.ndarray, value: np.ndarray, n_units: int) -> np.ndarray:
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Sets:
     """Shingle sets of the units ``raw[offsets[i]:offsets[i + 1]]``."""
     n_units, n = len(offsets) - 1, len(raw)
-    none = Sets(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n_units + 1, np.int64))
+    none = Sets(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n_units + 1, np.int64), np.zeros(n_units, np.int64))
     if not n:
         return none
     is_word = (raw != 32) & ((raw < 9) | (raw > 13))
@@ -142,7 +143,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Sets:
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (unit[1:] != unit[:-1])
     value, unit = value[new], unit[new]
-    return Sets(value, unit, np.searchsorted(unit, np.arange(n_units + 1)))
+    return Sets(value, unit, np.searchsorted(unit, np.arange(n_units + 1)), counts)
 
 
 #: Slots of the table of common shingles (a fixed 4 MB), and how many common shingles it is built from at most.

@@ -11,24 +11,26 @@ one anchor too, where the segments' windows that differ at the ends are compared
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlens.llm.arrowtext import byte_slices
+from hazardlens.llm.arrowtext import byte_slices, tidy
 from hazardlens.llm.io import Stash
 from hazardlens.llm.jaccard_join import BITS_LOG2, _bitmap, _in_bitmap
 from hazardlens.llm.shingles import mixed
 
 WIDTH, K = 50, 20
 SPAN = WIDTH - K + 1  # anchors that a window chooses from
-#: Fixed sizes: bits of the table of repeated anchors (16 MB), parts that anchors are dealt out by, bytes of text a run.
-TABLE_LOG2, PARTS_LOG2, RUN_BYTES = 27, 6, 8 << 20
+#: Fixed sizes: bits of the table of repeated anchors (16 MB), parts that anchors are dealt out by at least.
+TABLE_LOG2, PARTS_LOG2 = 27, 6
+#: A run ends beyond so many bytes of text or suffixes.
+RUN_BYTES, RUN_SUFFIXES = 32 << 20, 1 << 19
 FIRST_ID = -(2**63)  # of rows without an id
 _ODD = np.uint64(0x9FB21C651E98DF25)
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -68,19 +70,28 @@ def repeated_anchors(texts: DataFrame, reps: bytes) -> bytes:
     held = texts.sparkSession.sparkContext.broadcast(reps)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = [], 0
         for raw, offsets, _, _ in _of_reps(batches, held):
             text, _, _, _, h = anchored(raw, offsets)
-            order = np.lexsort((text, h))
+            h >>= np.uint64(18)  # top 46 bits: the part's 6 and 40 more
+            order = np.lexsort((h, text)) if len(offsets) > 2 else np.argsort(h)
             h, text = h[order], text[order]
-            new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])) if len(h) else np.zeros(0, bool)
-            h = h[new] >> np.uint64(18)  # top 46 bits: the part's 6 and 40 more
-            h, counts = np.unique(h, return_counts=True)
-            h = np.sort(np.concatenate([h, h[counts > 1]]))
-            part = (h >> np.uint64(40)).astype(np.int64)
-            at = np.searchsorted(part, np.arange((1 << PARTS_LOG2) + 1))
-            five = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :5]
-            some = np.flatnonzero(np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([five[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())], ["part", "run"])
+            own.append(h[np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))] if len(h) else h)  # once a text
+            size += len(own[-1])
+            if size >= RUN_SUFFIXES:
+                yield dealt(own)
+                own, size = [], 0
+        if size:
+            yield dealt(own)
+
+    def dealt(own: list[np.ndarray]) -> pa.RecordBatch:
+        h, counts = np.unique(np.concatenate(own), return_counts=True)
+        h = np.repeat(h, np.minimum(counts, 2))
+        part = (h >> np.uint64(40)).astype(np.int64)
+        at = np.searchsorted(part, np.arange((1 << PARTS_LOG2) + 1))
+        five = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :5]
+        some = np.flatnonzero(np.diff(at))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([five[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())], ["part", "run"])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[np.ndarray]] = {}
@@ -97,8 +108,8 @@ def repeated_anchors(texts: DataFrame, reps: bytes) -> bytes:
             bits[slot] = 1
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
 
-    runs = texts.mapInArrow(gather, "part int, run binary").repartition("part")
-    pieces = {r["part"]: r["bits"] for r in runs.mapInArrow(pick, "part int, bits binary").toLocalIterator()}
+    runs = texts.mapInArrow(tidy(gather), "part int, run binary").repartition("part")
+    pieces = {r["part"]: r["bits"] for r in runs.mapInArrow(tidy(pick), "part int, bits binary").toLocalIterator()}
     blank = bytes(1 << (TABLE_LOG2 - PARTS_LOG2 - 3))
     return b"".join(bytes(pieces.get(p, blank)) for p in range(1 << PARTS_LOG2))
 
@@ -113,38 +124,43 @@ def _of_reps(batches, held) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
             yield raw, offsets, ids, keys
 
 
-def sorted_runs(texts: DataFrame, reps: bytes, repeated: bytes) -> DataFrame:
-    """``part, run``: front-coded sorted runs of the suffixes at repeated anchors.
+def sorted_runs(texts: DataFrame, reps: bytes, repeated: bytes, log2: int) -> DataFrame:
+    """``part, run``: front-coded sorted runs of the suffixes at repeated anchors, and spans that a run settles by itself.
 
-    Parts are by anchor, about four for each shuffle partition, so that what a task merges at once stays small.
+    Parts are by anchor, about four for each shuffle partition, so that what a task merges at once stays small. Of equal
+    keys only those of a run's least document are dealt out; the other documents lose the whole segment. So a passage that
+    very many documents share goes to the task of its anchors once a run. Rows of settled spans have parts from 2**log2 on,
+    and go to any task.
     """
     spark = texts.sparkSession
-    log2 = min(14, max(PARTS_LOG2, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     held, table = spark.sparkContext.broadcast(reps), spark.sparkContext.broadcast(repeated)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, np.uint8)
-        keys, ids, rows, size, docs = [], [], [], 0, 0
+        keys, ids, rows, size, docs, suffixes = [], [], [], 0, 0, 0
         for raw, offsets, doc, row in _of_reps(batches, held):
             text, first, last, anchor, h = anchored(raw, offsets)
             slot = (h >> np.uint64(64 - TABLE_LOG2)).astype(np.int64)
             use = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
             text, first, last, anchor = text[use], first[use], last[use], anchor[use]
-            part = (h[use] >> np.uint64(64 - log2)).astype(np.uint16)
+            part = (h[use] >> np.uint64(64 - log2)).astype(np.uint32)
             keys.append((_keys(raw, first, last, anchor), part, (text + docs).astype(np.uint32), (first - offsets[text]).astype(np.uint32)))
             ids.append(doc)
             rows.append(row)
             size += len(raw)
             docs += len(doc)
-            if size >= RUN_BYTES:
+            suffixes += len(text)
+            if size >= RUN_BYTES or suffixes >= RUN_SUFFIXES:
                 yield from _front_coded(keys, np.concatenate(ids), np.concatenate(rows), 1 << log2)
-                keys, ids, rows, size, docs = [], [], [], 0, 0
+                keys, ids, rows, size, docs, suffixes = [], [], [], 0, 0, 0
         if keys:
             yield from _front_coded(keys, np.concatenate(ids), np.concatenate(rows), 1 << log2)
 
-    return texts.mapInArrow(build, "part int, run binary").repartition(1 << log2, "part")
+    return texts.mapInArrow(tidy(build), "part int, run binary").repartition(1 << log2, "part").sortWithinPartitions("part")
 
 
+#: Runs are packed one by one; what is front-coded is text, which packs to less than half.
+_pack, _unpack = zstandard.ZstdCompressor(level=4), zstandard.ZstdDecompressor()
 #: A key: the anchor, lengths of the rest after it and of what is before it, the rest, and the reversed bytes before.
 LONGEST = K + 2 + 2 * (WIDTH - K)
 
@@ -168,8 +184,22 @@ def _keys(raw: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarr
 
 def _front_coded(held: list[tuple], ids: np.ndarray, rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     key, part, text, start = (np.concatenate([x[i] for x in held]) for i in range(4))
-    order = np.lexsort((np.arange(len(key)), key.view(f"S{LONGEST}").ravel(), part)) if len(key) else np.zeros(0, np.int64)
+    if not len(key):
+        return
+    order = np.argsort(key.view(f"S{LONGEST}").ravel(), kind="stable")
+    order = order[np.lexsort((ids[text[order]], _numbers(key[order]), part[order]))]
     key, part, text, start = key[order], part[order], text[order], start[order]
+    new = np.append(True, (key[1:] != key[:-1]).any(axis=1))
+    least = ids[text][np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    rest = ids[text] > least
+    if rest.any():
+        t, b = text[rest], start[rest].astype("<i8")
+        size = key[rest, K].astype(np.int64) + key[rest, K + 1] + K
+        spans = np.stack([ids[t].astype("<i8"), rows[t].astype("<i8"), b, b + size])
+        for k in range(0, spans.shape[1], 50_000):
+            own = np.ascontiguousarray(spans[:, k : k + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array([parts + int(own[1, 0] % parts)], pa.int32()), pa.array([_pack.compress(own.tobytes())], pa.binary())], ["part", "run"])
+    key, part, text, start = key[~rest], part[~rest], text[~rest], start[~rest]
     at = np.searchsorted(part, np.arange(parts + 1))
     out = []
     for p in np.flatnonzero(np.diff(at)):
@@ -181,10 +211,20 @@ def _front_coded(held: list[tuple], ids: np.ndarray, rows: np.ndarray, parts: in
         column = np.arange(LONGEST)
         rest = k[(column >= lcp[:, None]) & (column < full[:, None])]
         own, text_at = np.unique(text[at[p] : at[p + 1]], return_inverse=True)
-        out.append((p, struct.pack("<QQ", len(k), len(own)) + b"".join(
-            x.tobytes() for x in (lcp.astype(np.uint8), full.astype(np.uint8), text_at.astype("<u4"), start[at[p] : at[p + 1]].astype("<u4"), ids[own].astype("<i8"), rows[own].astype("<i8"), rest))))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["part", "run"])
+        columns = (lcp.astype(np.uint8), full.astype(np.uint8), _planes(text_at, "<u4"), _planes(start[at[p] : at[p + 1]], "<u4"), _planes(np.diff(ids[own], prepend=0), "<i8"), _planes(rows[own], "<i8"), rest)
+        out.append((p, _pack.compress(struct.pack("<QQ", len(k), len(own)) + b"".join(x.tobytes() for x in columns))))
+    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["part", "run"])
+
+
+def _planes(values: np.ndarray, kind: str) -> np.ndarray:
+    """The lowest bytes of all values, then the next ones and so on, so that alike bytes are packed together."""
+    values = np.ascontiguousarray(values.astype(kind))
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+
+
+def _numbers(sorted_keys: np.ndarray) -> np.ndarray:
+    """The same number for equal keys, ascending."""
+    return np.cumsum(np.append(False, (sorted_keys[1:] != sorted_keys[:-1]).any(axis=1)))
 
 
 def _decoded(run: bytes):
@@ -192,14 +232,15 @@ def _decoded(run: bytes):
     n, docs = struct.unpack_from("<QQ", run)
     at = 16
 
-    def take(kind: str, count: int, size: int) -> list:
+    def take(kind: str, count: int) -> np.ndarray:
         nonlocal at
-        got = np.frombuffer(run, kind, count, at).tolist()
+        size = np.dtype(kind).itemsize
+        got = np.frombuffer(run, np.uint8, count * size, at).reshape(size, count).T
         at += count * size
-        return got
+        return np.ascontiguousarray(got).view(kind).ravel()
 
-    lcp, full, text, start = take("u1", n, 1), take("u1", n, 1), take("<u4", n, 4), take("<u4", n, 4)
-    ids, rows = take("<i8", docs, 8), take("<i8", docs, 8)
+    lcp, full, text, start = (take(kind, n).tolist() for kind in ("u1", "u1", "<u4", "<u4"))
+    ids, rows = np.cumsum(take("<i8", docs)).tolist(), take("<i8", docs).tolist()
     key = b""
     for i in range(n):
         same = lcp[i]
@@ -291,20 +332,20 @@ def _resolved(group: list[tuple[bytes, list[tuple[int, int, int]]]]) -> Iterator
                 begin = None
 
 
-def removed_spans(runs: DataFrame) -> DataFrame:
-    """``id, row_key, begin, end`` (bytes) from the merged runs of each part (dealt out by part); spans may overlap."""
+def removed_spans(runs: DataFrame, parts: int) -> DataFrame:
+    """``id, row_key, begin, end`` (bytes) from the merged runs of each part below ``parts``, and settled ones; spans may overlap."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for p, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own.setdefault(p, []).append(run.as_py())
-        out: list[tuple[int, int, int, int]] = []
         names = ["id", "row_key", "begin", "end"]
+        out: list[tuple[int, int, int, int]] = []
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
-        for p in list(own):
+        for part, own in _parts(batches):
+            if part >= parts:
+                for run in own:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(run, "<i8").reshape(4, -1)], names)
+                continue
             group: list[tuple[bytes, list]] = []
-            for same, key, doc, row, start in merged(own.pop(p)):
+            for same, key, doc, row, start in merged(own):
                 if same < K and group:
                     if len(group) > 1 or len(group[0][1]) > 1:
                         out += _resolved(group)
@@ -320,7 +361,21 @@ def removed_spans(runs: DataFrame) -> DataFrame:
         if out:
             yield flush()
 
-    return runs.mapInArrow(merge, "id long, row_key long, begin long, end long")
+    return runs.mapInArrow(tidy(merge), "id long, row_key long, begin long, end long")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Each part with its unpacked runs; rows come sorted by part, and one part is held at a time."""
+    part, own = None, []
+    for batch in batches:
+        for p, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if own and p != part:
+                yield part, own
+                own = []
+            part = p
+            own.append(_unpack.decompress(run.as_buffer()))
+    if own:
+        yield part, own
 
 
 def without_repeats(docs: DataFrame, stash: Stash) -> DataFrame:
@@ -342,8 +397,9 @@ def without_repeats(docs: DataFrame, stash: Stash) -> DataFrame:
     copies = narrow.join(several, "digest").filter(F.col("id") > F.col("least"))
     copies = copies.select("id", "row_key", F.lit(0).cast("long").alias("begin"), F.col("n").cast("long").alias("end"))
     texts = docs.filter(F.octet_length("text") >= WIDTH).select(slot.alias("slot"), "id", "row_key", "text")
-    runs = sorted_runs(texts, reps, repeated_anchors(texts, reps))
-    spans = stash.keep(removed_spans(runs).unionByName(copies), "spans")
+    log2 = max(PARTS_LOG2, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    runs = sorted_runs(texts, reps, repeated_anchors(texts, reps), log2)
+    spans = stash.keep(removed_spans(runs, 1 << log2).unionByName(copies), "spans")
     per_row = spans.groupBy("id", "row_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     joined = docs.join(per_row.hint("shuffle_hash"), ["id", "row_key"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans.begin", "spans.end")
     kind = dict(docs.dtypes)["doc_id"]
@@ -370,4 +426,4 @@ def without_repeats(docs: DataFrame, stash: Stash) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, 500), *[pa.array(c, pa.int64()) for c in own[:3]], pa.array(own[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tidy(cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

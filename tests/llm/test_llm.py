@@ -235,6 +235,18 @@ def test_suffix_dedup(spark, corpus):
     assert got == brute.repeats_cut(corpus)
 
 
+def test_suffix_dedup_of_a_hot_passage(spark):
+    """A passage in hundreds of texts, whole copies, a repeat within one text, and an id that repeats."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abc de") for _ in range(400))
+    text = lambda n: "".join(rng.choice("fgh ijkl") for _ in range(n))
+    docs = [(i, text(rng.randint(0, 90)) + passage[rng.randint(0, 60) :] + text(rng.randint(0, 90))) for i in range(300)]
+    docs += [(400, passage + text(60) + passage), (401, docs[3][1]), (402, "x" * 200)]
+    rng.shuffle(docs)
+    got = {r.doc_id: (r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.without_repeats(frame(spark, docs), Stash(spark, "t")).collect()}
+    assert got == brute.repeats_cut(docs)
+
+
 def test_loser_tree_merges():
     rng = random.Random(6)
     keys = [bytes(rng.choice(b"ab") for _ in range(20)) + bytes([2, 1]) + bytes(rng.choice(b"ab") for _ in range(3)) for _ in range(300)]
@@ -247,7 +259,7 @@ def test_loser_tree_merges():
             rest += k[n:]
             before = k
         n = len(part)
-        arrays = (np.array(lcp, "u1"), np.full(n, 25, "u1"), np.zeros(n, "<u4"), np.arange(n, dtype="<u4"), np.zeros(1, "<i8"), np.zeros(1, "<i8"))
+        arrays = (np.array(lcp, "u1"), np.full(n, 25, "u1"), np.zeros(n, "<u4"), suffix_dedup._planes(np.arange(n), "<u4"), np.zeros(1, "<i8"), np.zeros(1, "<i8"))
         runs.append(np.array([n, 1], "<u8").tobytes() + b"".join(a.tobytes() for a in arrays) + rest)
     out = list(suffix_dedup.merged(runs))
     assert [k for _, k, *_ in out] == sorted(keys)
