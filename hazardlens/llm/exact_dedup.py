@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 from hazardlens.llm.io import Stash
 
 #: Hot texts are those with more copies than this and more than one row in HOT_PART; so at most HOT_PART are hot.
-HOT_COPIES, HOT_PART, SALTS = 500, 10_000, 64
+HOT_COPIES, HOT_PART = 500, 10_000
+#: Characters of a text that its range key begins with; 8 bytes of its digest follow.
+LEAD = 48
 
 
 def content_groups(docs: DataFrame, stash: Stash, partitions: int | None = None) -> DataFrame:
@@ -18,36 +20,35 @@ def content_groups(docs: DataFrame, stash: Stash, partitions: int | None = None)
     Equal texts (null counts as empty; no other normalisation) form a group; its row with the largest ``doc_id``
     stays, and one of them only where whole rows repeat. Null ids sort below all others. Empty input: empty result.
 
-    ``repartitionByRange`` samples splitters over the contents and deals whole texts out by range; an external sort
-    within each partition puts equals side by side, and windows over that order compare whole neighbouring texts.
-    The one exchange of the texts also serves the windows. Copies of a very common text would fall to one task, so
-    its rows are dealt out with a salt from the id as second sort key, and the (at most 64) parts of such a group are
-    put together by digest. Which texts are hot comes from counts by digest, pre-aggregated in each task; at most
-    10,000 of N rows can be more than N / 10,000 copies, which bounds the broadcast.
+    ``repartitionByRange`` samples splitters over short keys, a leading part and some bytes of a digest, so that neither the
+    driver gets long texts nor texts that begin alike stay together, and deals whole texts out by range; an
+    external sort within each partition puts equals side by side, and windows over that order compare whole neighbouring texts.
+    The one exchange of the texts also serves the windows. Copies of a very common text would fall to one task, so they
+    are grouped by the whole text before any exchange (partial aggregation) and joined with their group by the whole text.
+    Which texts are hot comes from counts by digest, pre-aggregated in each task. At most 10,000 can have more than one in
+    10,000 of the rows, and these texts are in all no longer than 10,000 mean texts, which bounds the broadcasts.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     counts = stash.keep(rows.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_COPIES), "hot")
     total = docs.select("doc_id").agg(F.count("*").alias("total"))
     hot = counts.crossJoin(F.broadcast(total)).filter(F.col("n") * HOT_PART > F.col("total")).select("digest", F.lit(True).alias("hot"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0))
-    rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", salt.cast("int"))
+    rows = rows.join(F.broadcast(hot), "digest", "left")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def sorted_parts(part: DataFrame) -> DataFrame:
-        dealt = part.repartitionByRange(n, "text", "salt").sortWithinPartitions("text", "salt", F.desc("doc_id"))
-        same = Window.partitionBy("text", "salt")
-        first = same.orderBy(F.desc("doc_id"))
-        return dealt.select(
-            "doc_id", "digest", F.first("doc_id").over(first).alias("keep_id"), F.row_number().over(first).alias("place"),
-            F.count("*").over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("group_size"),
-        )
-
-    cool = sorted_parts(rows.filter(F.col("hot").isNull()))
-    parts = stash.keep(sorted_parts(rows.filter("hot")), "salted")
-    whole = parts.filter("place = 1").groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    warm = parts.drop("keep_id", "group_size").join(F.broadcast(whole), "digest")
-    out = cool.unionByName(warm.select(cool.columns))
+    key = [F.substring("text", 1, LEAD).alias("lead"), F.substring("digest", 1, 8).alias("part")]
+    cool = rows.filter(F.col("hot").isNull()).select("doc_id", "text", "digest", *key)
+    cool = cool.repartitionByRange(n, "lead", "part").sortWithinPartitions("lead", "part", "text", F.desc("doc_id"))
+    first = Window.partitionBy("lead", "part", "text").orderBy(F.desc("doc_id"))
+    cool = cool.select(
+        "doc_id", "digest", F.first("doc_id").over(first).alias("keep_id"), F.row_number().over(first).alias("place"),
+        F.count("*").over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("group_size"),
+    )
+    warm = rows.filter("hot").select("doc_id", "text", "digest")
+    heads = stash.keep(warm.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "heads")
+    warm = warm.join(F.broadcast(heads), "text").select("doc_id", "digest", "keep_id", "group_size")
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    place = F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))  # of the few rows with a group's largest id
+    out = cool.unionByName(warm.filter(best).withColumn("place", place)).unionByName(warm.filter(~best).withColumn("place", F.lit(0)))
     return out.select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("place") == 1)).alias("kept"),
