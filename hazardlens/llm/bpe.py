@@ -12,14 +12,19 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from struct import Struct, pack
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct pre-tokens remembered by a worker, and the longest that is (in characters); others are encoded anew.
-REMEMBERED, LONGEST = 800_000, 64
+from hazardlens.llm.arrowtext import tidy
+
+one = Struct("<I").pack
+#: Distinct pre-tokens of a generation, of which a worker remembers two (some 100 MB at most), and the longest that is
+#: remembered (in characters); others are encoded anew.
+REMEMBERED, LONGEST = 250_000, 64
 #: The white space of the Unicode standard, which the pattern's \s stands for.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -32,6 +37,7 @@ class BytePairs:
         self.bytes = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern.replace("[^\\s", f"[^{WHITE}").replace("\\S", f"[^{WHITE}]").replace("\\s", f"[{WHITE}]"))
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: merge the leftmost pair of the lowest rank until none is left.
@@ -97,15 +103,17 @@ class BytePairs:
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
+        if len(self.known) >= REMEMBERED:  # what wasn't met since the last time goes
+            self.known, self.before = {}, self.known
         known, parts = self.known, []
-        get = known.get
+        get, older = known.get, self.before.get
         for token in self.pattern.findall(text):
             ids = get(token)
             if ids is None:
-                ids = np.array(self.merged(token.encode()), "<u4").tobytes()
-                if len(token) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                ids = older(token)
+                if ids is None:
+                    ids = pack("<%dI" % len(own), *own) if len(own := self.merged(token.encode())) != 1 else one(own[0])
+                if len(token) <= LONGEST and len(known) < REMEMBERED:
                     known[token] = ids
             parts.append(ids)
         return b"".join(parts)
@@ -124,7 +132,7 @@ _loaded: dict[tuple[str, str], BytePairs] = {}
 
 
 def coder(name: str, pattern: str, blob: bytes) -> BytePairs:
-    """One per worker process and vocabulary."""
+    """One per vocabulary; what it remembers is bounded (see REMEMBERED)."""
     key = (name, pattern)
     if key not in _loaded:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
@@ -169,4 +177,4 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, schema: str, row, ty
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, {schema}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(of), f"doc_id {kind}, {schema}")
