@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hazardlens.llm.exprs import n_words
+from hazardlens.llm.exprs import n_words, spare
 from hazardlens.llm.io import Stash
 
 WEIGHTS = (5, 2, 1)
@@ -78,19 +78,21 @@ def mixed_rows(docs: DataFrame, stash: Stash, **how) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as ``mix`` takes it.
 
     A fraction of a document's words counts as a whole repetition from one half on. Documents without words have no
-    weight in the mix and stay once. Rows that repeat are told apart by nothing: what is taken of them is shared
-    among them, the rounding up goes to the first.
+    weight in the mix and stay once. Rows are told apart by a hash of all their columns; those that are equal in all are
+    shared what is taken of them, and the rounding up goes to the first. Rows of one id whose text or other columns differ are
+    separate documents.
     """
-    ids = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    keyed = docs.withColumns({"_id": ids, "_key": F.xxhash64("source", "text")})
-    own = keyed.select(F.struct("_id", "_key").alias("doc_id"), "source", "text")
+    name, key, times, copy, rows = spare(docs, "name", "key", "times", "copy", "rows")
+    keyed = docs.withColumns({name: F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), key: F.xxhash64(*docs.columns)})
+    own = keyed.select(F.struct(F.col(name).alias("name"), F.col(key).alias("key")).alias("doc_id"), "source", "text")
     taken = mix(own, stash, **how).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows"))
-    times = F.when(F.col("size") == 0, F.col("rows")).otherwise(F.floor(F.col("taken") / F.nullif(F.col("size"), F.lit(0)) + 0.5))
-    taken = stash.keep(taken.select("doc_id._id", "doc_id._key", times.cast("int").alias("_times"), "rows").filter("_times > 0"), "taken")
-    out = keyed.join(taken.hint("shuffle_hash"), ["_id", "_key"])
-    if taken.filter("rows > 1").limit(1).count():  # whole rows repeat
-        out = out.dropDuplicates(["_id", "_key"])
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    whole = F.when(F.col("size") == 0, F.col("rows")).otherwise(F.floor(F.col("taken") / F.nullif(F.col("size"), F.lit(0)) + 0.5))
+    taken = taken.select(F.col("doc_id.name").alias(name), F.col("doc_id.key").alias(key), whole.cast("int").alias(times), F.col("rows").alias(rows))
+    taken = stash.keep(taken.filter(F.col(times) > 0), "taken")
+    out = keyed.join(taken.hint("shuffle_hash"), [name, key])
+    if taken.filter(F.col(rows) > 1).limit(1).count():  # whole rows repeat
+        out = out.dropDuplicates([name, key])
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
 
 
 ORACLE = r"""

@@ -20,6 +20,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazardlens.llm.arrowtext import tidy
+from hazardlens.llm.exprs import spare
+
 #: Labelled rows of each class that the model is fitted on at most, and bytes of text of each class.
 ROWS, TEXT_BYTES = {1: 1_500, 0: 3_000}, {1: 16 << 20, 0: 24 << 20}
 WINDOW, STEP, LEVEL = 40, 24, 6
@@ -157,6 +160,8 @@ def held_out(doc_id: Column) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on at most ROWS labelled rows of each class (those with the smallest hash of their id), none held out.
 
+    Of these, texts beyond TEXT_BYTES of a class in all are passed over, so that the fit's memory is bounded.
+
     Labels for ids without a document, null labels and null ids are not used.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id")))
@@ -176,10 +181,10 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(texts[1], texts[0])
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs``, all columns and rows, plus ``_score`` from 0 to 1; null text scores as empty. No shuffle."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs``, all columns and rows, plus a column ``name`` from 0 to 1; null text scores as empty. No shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit(0.0).alias("_score")).schema
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
     at = docs.columns.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +193,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             scores = [scorer.score((t.as_py() or "").encode()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema.names)
 
-    return docs.mapInArrow(of, schema)
+    return docs.mapInArrow(tidy(of), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,9 +203,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     an empty table gives an empty one; null ids are scored and are not held out. Scores depend on the text alone.
     """
     out = scored(docs.select("doc_id", "text"), fitted(docs, labels))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= ACCEPTED).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
 
 
 def ordinary_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that aren't predicted toxic."""
-    return scored(docs, fitted(docs, labels)).filter(F.col("_score") < ACCEPTED).select(*docs.columns)
+    (name,) = spare(docs, "score")
+    return scored(docs, fitted(docs, labels), name).filter(F.col(name) < ACCEPTED).select(*docs.columns)

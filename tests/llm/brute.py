@@ -43,7 +43,7 @@ def components(docs: list[tuple]) -> dict:
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def kept_lines(docs: list[tuple]) -> dict:
+def kept_lines(docs: list[tuple], short: bool = False) -> dict:
     """doc_id -> kept text, for unique ids."""
     seen: list[frozenset] = []
     out = {}
@@ -54,7 +54,7 @@ def kept_lines(docs: list[tuple]) -> dict:
             continue
         kept = []
         for line in text.split("\n"):
-            s = shingles(line) if len(words(line)) >= 5 else frozenset()
+            s = shingles(line) if short or len(words(line)) >= 5 else frozenset()
             near = {k for x in s for k in by_shingle.get(x, ())}
             if not any(similar(s, seen[k]) for k in near):
                 kept.append(line)

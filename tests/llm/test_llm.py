@@ -318,6 +318,30 @@ def test_randomness_battery(spark):
     assert sum(x > 0.01 for x in p[:40]) >= 36 and max(p[40:42]) < 0.01
 
 
+def test_many_matches_in_one_text(spark):
+    """Linear work: 40,000 matches of one text, with base spans among the candidates."""
+    import time
+
+    text = "1.2.3.4 " * 40_000
+    started = time.perf_counter()
+    row = pii.find(frame(spark, [(1, text + "a@b.c " * 2000 + "@name " * 2000)]), Stash(spark, "t")).first()
+    assert (row.n_ip, row.n_email) == (40_000, 2000) and time.perf_counter() - started < 120
+    row = secret_scan.scan(frame(spark, [(1, "0123456789abcdef " * 20_000 + "a1b2c3d4e5f6g7h8i9j0 " * 2000)]), Stash(spark, "t")).first()
+    assert row.n_hex == 20_000
+
+
+def test_clear_of(spark):
+    from hazardlens.llm import spans
+
+    rng = random.Random(4)
+    texts = [("".join(rng.choice("ab12 ") for _ in range(60)),) for _ in range(200)]
+    found = spans.matches(F.col("t"), "[a1]{2,}")
+    others = spans.spans(spans.matches(F.col("t"), "[b2][ab12]"), "x", 0, lambda m: F.length(m) > 0)
+    plain = F.filter(found, lambda x: ~F.exists(others, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    rows = spark.createDataFrame(texts, "t string").select(spans.clear_of(found, others).alias("a"), plain.alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and any(r.a for r in rows)
+
+
 PERSONAL = [
     (0, "é mail a.b+c@d-e.fg.hi x@y a@b.c_w@v.u 1.2.3.4 1.2.3.4.5 256.1.1.1 001.2.3.255"), (1, "4111 1111 1111 1111 4111-1111-1111-1112 1 2 3 4 5 6 7 8 9 0 1 2 3"),
     (2, "+1 (017) 555-7713 +12 +1 2345 67890 1234567 +1--2"), (3, None), (4, "5" * 9000 + " " + "a" * 9000), (5, "Dear Mr. James Smith, phone (212) 555-1234, id 123-45-6789"),
@@ -348,6 +372,51 @@ def test_empty_tables(spark):
     assert [r.count() for r in results] == [0] * len(results)
 
 
+CLASHES = ("_id", "_key", "_gone", "_score", "n_removed", "n_lines", "kept", "component_id", "name", "key", "times", "copy", "rows", "score", "doc", "row_key", "mask", "removed")
+
+
+def clashing(spark, texts):
+    """The texts with columns whose names the operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[f"{c}{i}" for c in CLASHES]) for i, t in texts], schema)
+
+
+def test_clashing_names(spark, corpus):
+    docs = clashing(spark, corpus[:40])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in corpus], "doc_id long, quality int, toxic int")
+    results = [
+        bpe.digests(docs, RANKS, P.PATTERN), jaccard_join.groups(docs, Stash(spark, "t")), mixing.mix(docs, Stash(spark, "t")), toxicity.classify(docs, labels),
+        quality.assess(docs, Stash(spark, "t")), exact_dedup.content_groups(docs, Stash(spark, "t")), suffix_dedup.without_repeats(docs, Stash(spark, "t")),
+        secret_scan.scan(docs, Stash(spark, "t")), pii.find(docs, Stash(spark, "t")), line_dedup.without_repeats(docs, Stash(spark, "t")),
+    ]
+    assert [r.count() for r in results] == [40] * len(results)
+
+
+def test_pipeline_stages(spark, corpus):
+    """Each stage against brute force, with clashing names, repeated rows and rows that share id and text only."""
+    import corpus_pipeline as pipeline
+
+    texts = [*corpus, (900, "Home page\nsome line of seven words is here\nhome page"), (901, "home  page"), (902, "a b c"), (902, "a b c")]
+    docs = clashing(spark, texts).unionByName(clashing(spark, texts[-4:-3]).withColumn("lang", F.lit("fr")))
+    row = {tuple(r) for r in docs.collect()}
+    lines = pipeline.line_dedup_stage(spark, docs, "")
+    assert lines.columns == docs.columns and lines.count() == docs.count()
+    want = brute.kept_lines(texts[:-1], short=True)
+    assert all(r.text in (want[r.doc_id], *[None] * (want[r.doc_id] is None)) for r in lines.collect() if r.doc_id != 900 and r.doc_id != 902)
+    assert all(r._gone == f"_gone{r.doc_id}" for r in lines.collect())
+    one = pipeline.jaccard_join_stage(spark, docs, "").collect()
+    group = brute.components(texts[:-1])
+    blank = {i for i, (n, _) in group.items() if not n}
+    assert {r.doc_id for r in one} == {c for i, (n, c) in group.items() if n} | blank and len(one) == len({r.doc_id for r in one})
+    assert all(tuple(r) in row for r in one)
+    mixed = pipeline.mixing_stage(spark, docs, "").collect()
+    assert all(tuple(r) in row for r in mixed) and {r.lang for r in mixed if r.doc_id == 900} <= {"en", "fr"}
+    taken = sum(len((r.text or "").split()) for r in mixed)
+    size = sum(len((t or "").split()) for _, t in texts) + len(texts[-4][1].split())
+    assert abs(taken - 1.5 * size) <= max(len((t or "").split()) for _, t in texts)
+    assert pipeline.byte_bpe_stage(spark, docs, "").count() == docs.count()
+
+
 def test_null_ids(spark):
     docs = frame(spark, [(None, "a b c d e f g h i j " * 9), (4, "a b c d e f g h i j " * 9), (None, None)])
     assert sorted(str(r.component_id) for r in jaccard_join.groups(docs, Stash(spark, "t")).collect()) == ["4", "4", "None"]
