@@ -92,3 +92,24 @@ def diff_path(raw: Column) -> Column:
     """A path of a ``+++``/``---`` line: null for /dev/null, without quotes and the a/ or b/ prefix."""
     p = F.regexp_replace(F.btrim(F.split_part(raw, F.lit("\t"), F.lit(1))), '^"|"$', "")
     return F.when(p == "/dev/null", F.lit(None)).otherwise(F.regexp_replace(p, "^[ab]/", ""))
+
+
+def generated(path: Column, head: Column) -> Column:
+    """Whether a TypeScript file is generated: by its name, or by a comment that begins with ``@generated`` in its first 2,000 bytes."""
+    start = F.decode(F.substring(head.cast("binary"), 1, 2000), "UTF-8")
+    return path.rlike("\\.(pb|gen)\\.[mc]?tsx?$") | start.rlike("(?m)^\\s*(//|/\\*+|\\*|#)\\s*@generated\\b")
+
+
+def product_file(path: Column) -> Column:
+    """Whether a TypeScript file is the product's own: no tests, stories, declarations, fixtures or built files."""
+    return ~(path.rlike("\\.(test|spec|stories|d|config)\\.[mc]?tsx?$") | path.rlike("(^|/)(node_modules|dist|build|__tests__|tests?|fixtures|examples)/"))
+
+
+def repo_slug(url: Column) -> Column:
+    """``owner/name`` of a repository's address, without ``.git``; null where there is none."""
+    return F.nullif(F.regexp_extract(url, "([^/:]+/[^/:]+?)(?:\\.git)?/*$", 1), F.lit(""))
+
+
+def n_failed(output: Column) -> Column:
+    """The number of failed tests that a test run's summary names, 0 without one."""
+    return F.coalesce(F.nullif(F.regexp_extract(output, "([0-9]+) failed", 1), F.lit("")).cast("int"), F.lit(0))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 BIN = 64
 
 
-def overlapping(units: DataFrame, hunks: DataFrame, bin_size: int | None = None) -> DataFrame:
+def overlapping(units: DataFrame, hunks: DataFrame, bin_size: int | None = BIN) -> DataFrame:
     """Units joined with the hunks (``commit, path, start, end``) of their path that overlap their closed span.
 
-    With ``bin_size``, both sides are dealt out by line bins first, for files with very many rows; a pair is kept in
+    Both sides are dealt out by line bins first, so that files with very many rows stay linear; a pair is kept in
     the one bin where the later of the two begins, so nothing has to be made distinct.
     """
     meets = (F.col("start") <= F.col("end_line")) & (F.col("start_line") <= F.col("end"))
@@ -27,7 +27,7 @@ def since(hunks: DataFrame, cutoff) -> DataFrame:
     return hunks.filter(F.col("ts") >= F.lit(cutoff))
 
 
-def function_churn(units: DataFrame, hunks: DataFrame, bin_size: int | None = None) -> DataFrame:
+def function_churn(units: DataFrame, hunks: DataFrame, bin_size: int | None = BIN) -> DataFrame:
     """``unit, commits``: distinct commits that touch each unit, 0 included."""
     n = overlapping(units, hunks, bin_size).groupBy("unit").agg(F.countDistinct("commit").alias("commits"))
     return units.select("unit").join(n, "unit", "left").select("unit", F.coalesce("commits", F.lit(0)).alias("commits"))

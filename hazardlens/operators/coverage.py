@@ -1,7 +1,8 @@
 """Joins and aggregates that attach coverage to functions.
 
 Units have ``unit, path, start_line, end_line``; lines ``path, line, executed``; arcs ``path, pos, src, dst, executed``.
-Interval joins are equi-joins on the path with the interval as residual; ``binned`` adds bins for very large files.
+Interval joins are equi-joins on the path and bins of BIN lines, with the interval as residual: a long file with many
+functions costs its rows, not rows times functions.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hazardlens.functions.names import basename, shard_prefix, under
+from hazardlens.functions.names import shard_prefix, under
 
+#: Lines of a bin, about the median length of a function.
+BIN = 64
 POLICIES = ("pessimistic", "optimistic", "skip")
 
 
-def contained(units: DataFrame, points: DataFrame, at: str, bin_size: int | None = None) -> DataFrame:
+def contained(units: DataFrame, points: DataFrame, at: str, bin_size: int | None = BIN) -> DataFrame:
     """Units joined with the points ``at`` whose line lies in their closed span."""
     inside = points[at].between(F.col("start_line"), F.col("end_line"))
     if bin_size is None:
@@ -75,13 +78,14 @@ def suffix_lookup(wanted: DataFrame, records: DataFrame, prefer: str = "first")
     ``records`` has ``record`` (its path) and ``ordinal``. Of several, the first in order or the longest path.
     """
     tie = {"first": F.struct("ordinal"), "longest": F.struct((-F.length("record")).alias("n"), F.col("ordinal"))}[prefer]
-    w = wanted.select("path").distinct().withColumn("base", basename(F.col("path")))
-    joined = w.join(records.withColumn("base", basename(F.col("record"))), "base")
-    exact = F.col("record") == F.col("path")
-    fits = exact | F.endswith(F.col("record"), F.concat(F.lit("/"), F.col("path")))
-    order = F.struct((~exact).alias("other"), tie.alias("tie"))
-    best = joined.filter(fits).groupBy("path").agg(F.min_by("record", order).alias("record"))
-    return w.select("path").join(best, "path", "left")
+    w = wanted.select("path").distinct()
+    parts = F.split("record", "/")
+    # every suffix of a record that begins after a slash, and the record itself: an equi-join on whole paths
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    joined = w.join(records.withColumn("path", F.explode(F.array_distinct(ends))), "path")
+    order = F.struct((F.col("record") != F.col("path")).alias("other"), tie.alias("tie"))
+    best = joined.groupBy("path").agg(F.min_by("record", order).alias("record"))
+    return w.join(best, "path", "left")
 
 
 def shard_lookup(wanted: DataFrame, shards: DataFrame, records: DataFrame) -> DataFrame:

@@ -81,3 +81,10 @@ def narrowed(functions: DataFrame, reached: DataFrame, uncertain: DataFrame, poi
     f = functions.withColumn("name", F.split_part("qualname", F.lit("."), F.lit(1)))
     f = f.join(reached.withColumn("_r", F.lit(True)), ["file", "name"], "left").join(uncertain.withColumn("_u", F.lit(True)), "name", "left")
     return f.withColumn("is_public", F.col("is_public") & (F.col("_r").isNotNull() | F.col("_u").isNotNull())).select(*functions.columns)
+
+
+def shallowest_index(files: DataFrame) -> DataFrame:
+    """The ``index`` files (``repo, path``) at the least depth of each repo: its entries where none are configured."""
+    own = files.filter(F.col("path").rlike("(^|/)index\\.[mc]?[jt]sx?$")).withColumn("depth", F.size(F.split("path", "/")))
+    least = own.groupBy("repo").agg(F.min("depth").alias("depth"))
+    return own.join(least, ["repo", "depth"]).select("repo", "path")

@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from hazardlens.operators import coverage, statistics
+from hazardlens.functions.names import tail
+from hazardlens.functions.scoring import COMPONENTS
+from hazardlens.operators import coverage, ladder, statistics
 
 # Words that mark a fix.
 FIX_WORDS = ("fix", "bug", "close", "resolve", "hotfix")
@@ -33,15 +36,27 @@ def fix_commits(log: DataFrame, words: Sequence[str] = FIX_WORDS, most: int | No
 
 
 def tracked(rows: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """``rows`` (``path, qualname, fingerprint, signature``) plus ``sid``: the snapshot function that each is.
+    """``rows`` (``path, qualname, fingerprint, signature``) plus ``sid``: the snapshot function that each is, or null.
 
-    The same id, else the only one with its fingerprint; rows that fit none or several have null. Candidates come from
-    equi-joins, one for each kind of key.
+    The same id; else the best of those with the same body, signature or last name part, by the ladder's similarity (the row
+    counts as all zero), if it is similar enough and no other is near it. Candidates come from one equi-join for each kind of
+    key, so a row meets only snapshot functions that share one.
     """
-    ids = snapshot.select("path", "qualname", F.col("sid").alias("by_id"))
-    unique = snapshot.filter("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("sid").alias("by_body")).filter("n = 1").drop("n")
-    out = rows.join(ids, ["path", "qualname"], "left").join(unique, "fingerprint", "left")
-    return out.withColumn("sid", F.coalesce("by_id", "by_body")).drop("by_id", "by_body")
+    keyed = lambda df: df.select("*", F.explode(F.array(F.concat(F.lit("b:"), "fingerprint"), F.concat(F.lit("s:"), "signature"), F.concat(F.lit("t:"), tail(F.col("qualname"))))).alias("key")).filter("key is not null")
+    ids = ["path", "qualname", "fingerprint", "signature"]
+    zero = [F.lit(0.0).alias(c) for c in (*COMPONENTS, "score") if c not in rows.columns]
+    wanted = rows.select(*ids).distinct()
+    exact = wanted.join(snapshot.select("path", "qualname", F.col("sid").alias("by_id")), ["path", "qualname"])
+    open_rows = wanted.join(exact.select("path", "qualname"), ["path", "qualname"], "left_anti").select(*ids, *zero)
+    old = snapshot.select("sid", *ids, *[F.col(c) if c in snapshot.columns else F.lit(0.0).alias(c) for c in (*COMPONENTS, "score")])
+    pairs = keyed(open_rows).alias("n").join(keyed(old).alias("o"), F.col("n.key") == F.col("o.key"))
+    pairs = pairs.select(*[F.col(f"n.{c}").alias(c) for c in ids], F.col("o.sid").alias("near"), ladder.similarity().alias("similarity")).distinct()
+    own = Window.partitionBy(*ids)
+    best = pairs.withColumn("best", F.max("similarity").over(own)).filter((F.col("best") >= ladder.MATCH) & (F.col("best") - F.col("similarity") <= ladder.BAND))
+    best = best.groupBy(*ids).agg(F.count("*").alias("n"), F.min("near").alias("near")).filter("n = 1").drop("n")
+    found = exact.select(*ids, F.col("by_id").alias("sid")).unionByName(best.select(*ids, F.col("near").alias("sid"))).select(*[F.col(c).alias(f"_{c}") for c in ids], "sid")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
+    return rows.drop("sid").join(found, same[0] & same[1] & same[2] & same[3], "left").drop(*[f"_{c}" for c in ids])
 
 
 def defect_labels(fixes: DataFrame, old_hunks: DataFrame, blame: DataFrame, functions_at: DataFrame, snapshot: DataFrame) -> DataFrame:

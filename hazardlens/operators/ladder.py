@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from hazardlens.functions.names import tail, target
 from hazardlens.functions.scoring import COMPONENTS, argmax_growth
+from hazardlens.operators import coverage
 from hazardlens.operators.coverage import latest
 
 # Weights of the rename signals, their bounds, and the gates' defaults.
@@ -203,3 +204,9 @@ def score_drift(a: DataFrame, b: DataFrame) -> DataFrame:
     both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
     return x.join(y, ["path", "qualname"], "full_outer").agg(
         F.count_if(both & ~F.col("x").eqNullSafe(F.col("y"))).alias("changed"), F.count_if(F.col("in_a").isNull()).alias("added"), F.count_if(F.col("in_b").isNull()).alias("removed"))
+
+
+def with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Diff rows whose group, taken from the current row or the baseline, is else that of the longest prefix of their path."""
+    by_path = coverage.longest_prefix(rows.filter("group is null"), groups, "_prefix")
+    return rows.join(by_path, "path", "left").withColumn("group", F.coalesce("group", "_prefix")).drop("_prefix")

@@ -58,6 +58,26 @@ def status_rollup(diff: DataFrame) -> DataFrame:
     return named.rollup("group").agg(*counts_by("status", STATUSES))
 
 
+KINDS = ("new_above_threshold", "regressed", "component_regressed", "existing_above_threshold")
+
+
+def regression_rollup(regressions: DataFrame) -> DataFrame:
+    """Regressions by kind for each group, and in all (group null)."""
+    named = regressions.withColumn("group", F.coalesce("group", F.lit("ungrouped")))
+    return named.rollup("group").agg(*counts_by("kind", KINDS))
+
+
+def gate_rollup(regressions: DataFrame, diff: DataFrame) -> DataFrame:
+    """``regression_rollup``, or where nothing regressed the diff's roll-up by status."""
+    return regression_rollup(regressions) if regressions.limit(1).count() else status_rollup(diff)
+
+
+def regression_order(regressions: DataFrame) -> DataFrame:
+    """The largest change first (a delta that is null or 0 falls through to the score), then by target."""
+    size = F.coalesce(F.nullif("delta", F.lit(0.0)), "current_score")
+    return regressions.orderBy(F.desc(size), target(F.col("path"), F.col("qualname")))
+
+
 def above(report: DataFrame, threshold: float) -> DataFrame:
     """The gate without a baseline: scores strictly above ``threshold``."""
     return report.filter(F.col("score") > F.lit(float(threshold)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlens.functions import names, scoring
-from hazardlens.operators import churn, coverage, graph, history, ladder, model, report, statistics
+from hazardlens.operators import calibration, churn, coverage, graph, history, ladder, model, report, statistics
 from hazardlens.plans import views
 from hazardlens.plans.views import LC, LINES, SNAPSHOTS, UNITS, Tables, facts_sql, scored_sql
 from hazardlens.sources import lcov
@@ -48,7 +48,7 @@ def line_coverage(t: Tables) -> DataFrame:
 
 @query(f"with {LC} select unit, n_measured, n_executed, line_coverage from lc")
 def line_coverage_binned(t: Tables) -> DataFrame:
-    each = coverage.contained(t.units(), t.lines(), "line", bin_size=churn.BIN).groupBy("unit", "line").agg(F.bool_or("executed").alias("e"))
+    each = coverage.contained(t.units(), t.lines(), "line", bin_size=16).groupBy("unit", "line").agg(F.bool_or("executed").alias("e"))
     n, hit = F.count("*"), F.count_if(F.col("e"))
     return each.groupBy("unit").agg(n.alias("n_measured"), hit.alias("n_executed"), (hit / n).alias("line_coverage"))
 
@@ -431,15 +431,14 @@ def top_quartile(t: Tables) -> DataFrame:
 @query(f"with m as ({_mw('lang')}) select round(avg(auc), 6) as mean_auc, round(sum(auc * (n1 + n0)) / nullif(sum(n1 + n0), 0), 6) as weighted_auc from m")
 def weighted_auc(t: Tables) -> DataFrame:
     m = _rounded(statistics.mann_whitney(_labelled(t).withColumn("p", F.col("toxic") == 1), "n_chars", "p", ["lang"]))
-    n = F.col("n1") + F.col("n0")
-    return m.agg(F.round(F.avg("auc"), 6).alias("mean_auc"), F.round(F.sum(F.col("auc") * n) / F.nullif(F.sum(n), F.lit(0)), 6).alias("weighted_auc"))
+    out = calibration.mean_auc(m.withColumn("n", F.col("n1") + F.col("n0")))
+    return out.select(F.round("mean_auc", 6).alias("mean_auc"), F.round("weighted_auc", 6).alias("weighted_auc"))
 
 
 @query(f"with {LABELLED}, t(tier) as (values ('low'), ('high')) select tier, count(doc_id)::bigint as n, round(avg(n_chars), 6) as mean from t left join d on (tier = 'high') = (quality = 1) group by tier")
 def tier_gradient(t: Tables) -> DataFrame:
     d = _labelled(t).withColumn("tier", F.when(F.col("quality") == 1, "high").otherwise("low"))
-    tiers = t.spark.createDataFrame([("low",), ("high",)], "tier string")
-    return tiers.join(d, "tier", "left").groupBy("tier").agg(F.count("doc_id").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"))
+    return calibration.tier_gradient(d, "tier", "n_chars", ["low", "high"]).withColumn("mean", F.round("mean", 6))
 
 
 @query(f"with {LABELLED}, s as (select avg(n_chars) as m, stddev_pop(n_chars) as s from d) select doc_id, round((n_chars - m) / case when s > 0 then s else 1 end, 6) as x from d, s")
@@ -579,3 +578,6 @@ def parse_python(t: Tables) -> DataFrame:
 
     files = t.spark.createDataFrame([("src/a.py", python_files.EXAMPLE.encode()), ("src/bad.py", b"def ("), ("src/empty.py", b"")], "path string, content binary")
     return python_files.functions(python_files.parsed(files))
+
+
+from hazardlens.plans import calibration_queries  # noqa: E402, F401  (registers its queries)

@@ -93,13 +93,13 @@ def cyclomatic(node: ast.AST) -> int:
 
 
 def _exported(tree: ast.Module) -> set[str] | None:
-    """Names of the one literal ``__all__``; None where it is absent, changed or computed."""
+    """Names of the module's one literal ``__all__``; None where it is absent, changed or computed. Nested scopes don't count."""
     found = []
-    for x in ast.walk(tree):
-        targets = x.targets if isinstance(x, ast.Assign) else [x.target] if isinstance(x, (ast.AugAssign, ast.AnnAssign)) else []
+    for x in tree.body:
+        targets = x.targets if isinstance(x, ast.Assign) else [x.target] if isinstance(x, ast.AugAssign) else []
         if any(isinstance(t, ast.Name) and t.id == "__all__" for t in targets):
             found.append(x)
-    if len(found) != 1 or isinstance(found[0], ast.AugAssign) or found[0] not in tree.body:
+    if len(found) != 1 or isinstance(found[0], ast.AugAssign):
         return None
     value = found[0].value
     if not isinstance(value, (ast.List, ast.Tuple)) or not all(isinstance(e, ast.Constant) and isinstance(e.value, str) for e in value.elts):
