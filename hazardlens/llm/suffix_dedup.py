@@ -62,7 +62,8 @@ def anchored(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return text[first], at[first], at[last], anchor[first], h[anchor[first]]
+    # anchors have small hashes; mixed again, their top bits spread over all parts and slots alike
+    return text[first], at[first], at[last], anchor[first], mixed(h[anchor[first]] * _ODD)
 
 
 def repeated_anchors(texts: DataFrame, reps: bytes) -> bytes:
