@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from hazardlens.llm.arrowtext import tidy
 
 one = Struct("<I").pack
-#: Distinct pre-tokens of a generation, of which a worker remembers two (some 100 MB at most), and the longest that is
+#: Distinct pre-tokens of a generation, of which a worker remembers two (some 150 MB at most), and the longest that is
 #: remembered (in characters); others are encoded anew.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 350_000, 64
 #: The white space of the Unicode standard, which the pattern's \s stands for.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
