@@ -29,7 +29,7 @@ from hazardlens.llm.components import labels
 from hazardlens.llm.exprs import spare
 from hazardlens.llm.io import Stash
 from hazardlens.llm.regions import partners, regions
-from hazardlens.llm.shingles import COMMON, Sets, rare_prefixes, rarity_table, shingle_sets
+from hazardlens.llm.shingles import COMMON, SLOTS_LOG2, Sets, rare_prefixes, rarity_table, shingle_sets
 
 #: Partners that a row of a region proposes: one in the first round, so many times as many in each further one.
 GROWTH = 8
@@ -52,7 +52,10 @@ def common_shingles(texts: DataFrame, units=units_of_texts) -> bytes:
         held, n = [], 0
 
         def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
+            h = np.concatenate(held)
+            slot = (h >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
+            h = h[np.bincount(slot)[slot] >= IN_BLOCK]  # the others can't be as frequent, and needn't be sorted
+            h, c = np.unique(h, return_counts=True)
             some = c >= IN_BLOCK
             return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(c[some])], ["h", "n"])
 
@@ -88,7 +91,7 @@ def nodes(docs: DataFrame, table, similar: int) -> DataFrame:
                 unit, h, _ = rare_prefixes(sets, level, similar)
                 ids = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.column(0), ids.column(1), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.digests().view(np.int64)), _lists(h, unit, b - a), pa.array(sets.sketches(SKETCH), pa.binary())],
+                    [ids.column(0), ids.column(1), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.digests().view(np.int64)), _lists(h, unit, b - a), sets.sketch_array(SKETCH)],
                     ["doc_id", "row_key", "n", "node", "keys", "sketch"],
                 )
 

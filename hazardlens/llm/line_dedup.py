@@ -56,10 +56,10 @@ def lines(docs: DataFrame, table, similar: int, short: bool = False) -> DataFram
                 place = np.full(len(at) - 1, -1)
                 place[use] = np.arange(len(use))
                 ids = batch.select(["doc_id", "row_key"]).slice(a, b - a).take(pa.array(doc[use]))
-                sketch = sets.sketches(SKETCH, keep)
+                sketch = sets.sketch_array(SKETCH, keep)
                 yield pa.RecordBatch.from_arrays(
                     [ids.column(0), ids.column(1), pa.array(line[use]), pa.array(sets.sizes[use]), pa.array(digests[use].view(np.int64)),
-                     _lists(h, place[unit], len(use)), pa.array([sketch[i] for i in use], pa.binary())], names)
+                     _lists(h, place[unit], len(use)), sketch.take(pa.array(use))], names)
 
     schema = f"doc_id {kind}, row_key long, line long, n long, node long, keys array<long>, sketch binary"
     return docs.select("doc_id", "row_key", "text").mapInArrow(tidy(of), schema)
@@ -82,14 +82,12 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80, short: bool
     table = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, units_of_lines))
     found = stash.keep(lines(docs, table, similar, short), "lines")
     rank = F.struct("doc_id", "row_key", "line")
-    firsts = stash.keep(found.groupBy("node").agg(F.min(rank).alias("rank")), "firsts")
-    keyed = found.filter(F.size("keys") > 0)
-    sketched = keyed.groupBy("node").agg(F.first("sketch").alias("sketch")).join(firsts, "node")
-    keyed = keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = keyed.select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("place", "region"))
-    met = stash.keep(regions(keyed, similar), "met")
-    sketches = stash.keep(sketched, "sketches")
-    owner = firsts.select("node", F.col("rank.doc_id").alias("doc_id"))
+    keys = F.first(F.when(F.size("keys") > 0, F.col("keys")), ignorenulls=True).alias("keys")
+    classes = found.groupBy("node").agg(F.min(rank).alias("rank"), F.count("*").alias("copies"), F.first("n").cast("int").alias("n"), keys, F.first("sketch", ignorenulls=True).alias("sketch"))
+    classes = stash.keep(classes, "classes")
+    met = stash.keep(regions(classes.select("node", "n", F.posexplode("keys").alias("place", "region")), similar), "met")
+    sketches = classes.filter("sketch is not null").select("node", "rank", "sketch")
+    owner = classes.select("node", F.col("rank.doc_id").alias("doc_id"))
     left, cap = met, 1
     hit = tried = None
     while True:
@@ -114,12 +112,12 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80, short: bool
         left = stash.keep(left.drop("done").join(some, "region", "left_semi"), "open")
         if not left.limit(1).count():
             break
-    again = found.select("doc_id", "row_key", "line", "node").join(firsts, "node")
+    # lines that occur once and are similar to no other take no part in the join
+    marks = classes.filter("copies > 1").select("node", "rank")
+    marks = marks.withColumn("hit", F.lit(None).cast("boolean")) if hit is None else marks.join(hit.withColumn("hit", F.lit(True)), "node", "full_outer")
+    again = found.select("doc_id", "row_key", "line", "node").join(marks.hint("shuffle_hash"), "node")
     later = ~(F.col("doc_id").eqNullSafe(F.col("rank.doc_id")) & (F.col("row_key") == F.col("rank.row_key")) & (F.col("line") == F.col("rank.line")))
-    if hit is None:
-        out = again.filter(later)
-    else:
-        out = again.join(hit.withColumn("hit", F.lit(True)), "node", "left").filter(later | F.col("hit"))
+    out = again.filter(F.col("hit") | later)
     return out.select("doc_id", "row_key", "line")
 
 
@@ -133,7 +131,7 @@ def without_repeats(docs: DataFrame, stash: Stash, similar: int = 80, short: boo
     own = [c for c in docs.columns if c not in counts]
     docs = docs.select(*own)
     doc, key, row_key, mask, removed = spare(docs, "doc", "key", "row_key", "mask", "removed")
-    gone = removed_lines(docs, stash, similar, short).distinct().groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("at"))
+    gone = removed_lines(docs, stash, similar, short).groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("at"))
     before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("at", i - 1))
     upto = lambda at, i: F.concat(F.array_repeat(F.lit(True), at - before(i) - 1), F.array(F.lit(False)))
     # one flag for each line up to the last that goes, so that the work is in proportion to the lines
@@ -143,6 +141,6 @@ def without_repeats(docs: DataFrame, stash: Stash, similar: int = 80, short: boo
     out = out.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(row_key) == F.col(key)), "left")
     kept = F.zip_with(F.split("text", "\n"), mask, lambda x, stays: F.when(F.coalesce(stays, F.lit(True)), x))
     text = F.when(F.col(mask).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     names = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in own]
     return out.select(*names, n_lines.alias(counts[0]), F.coalesce(removed, F.lit(0)).cast("long").alias(counts[1]))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 K = 5
 _rng = np.random.default_rng(20240229)
@@ -74,24 +75,28 @@ class Sets:
         return out
 
     def sketches(self, least: int, only: np.ndarray | None = None) -> list[bytes | None]:
-        """A parity row for each set: whether an odd number of shingles has each value of the hash's low bits.
+        return self.sketch_array(least, only).to_pylist()
+
+    def sketch_array(self, least: int, only: np.ndarray | None = None) -> pa.Array:
+        """A parity row for each set, as bytes: whether an odd number of shingles has each value of the hash's low bits.
 
         Two rows of equal width differ in no more bits than the sets differ in elements. A row has ``least`` bits, or for larger
         sets the power of two from their size on. Sets that are not among ``only`` have none.
         """
         n = self.sizes
         bits = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
-        out: list[bytes | None] = [None] * len(n)
         if only is not None:
             bits[~only] = 0
-        for size in np.unique(bits[bits > 0]):
+        at = np.append(0, np.cumsum(bits >> 3))
+        data = np.zeros(int(at[-1]), np.uint8)
+        for size in np.unique(bits[bits > 0]).tolist():
             own = np.flatnonzero(bits == size)
             place = np.full(len(n), -1)
             place[own] = np.arange(len(own))
             use = place[self.unit] >= 0
-            for i, row in zip(own, _parities(place[self.unit[use]], self.hashes[use], len(own), int(size)), strict=True):
-                out[i] = row.tobytes()
-        return out
+            data[at[own][:, None] + np.arange(size >> 3)] = _parities(place[self.unit[use]], self.hashes[use], len(own), size)
+        valid = np.packbits(bits > 0, bitorder="little")
+        return pa.Array.from_buffers(pa.binary(), len(n), [pa.py_buffer(x) for x in (valid, at.astype(np.int32), data)])
 
 
 def _parities(unit: np.ndarray, hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
