@@ -24,7 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
 class Stash:
     """Intermediate tables written as Parquet in the shared folder, so that lost executors cost no recomputation.
 
-    ``keep`` writes and rereads a frame; ``drop`` removes tables that no later step reads.
+    ``keep`` writes and rereads a frame; ``drop`` removes tables that no later step reads, ``release``
+    the shuffle files of frames that are kept.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -35,11 +36,16 @@ class Stash:
     def keep(self, df: DataFrame, tag: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{tag}"
-        df.write.parquet(path)
+        # hashes and sketches hardly repeat: dictionaries of them would be built and thrown away
+        df.write.option("parquet.enable.dictionary", "text" in df.columns).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stash_path = path
         return out
 
+    def release(self) -> None:
+        """Has the driver collect frames that are written, upon which Spark removes their shuffle files."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:

@@ -29,7 +29,7 @@ from hazardlens.llm.components import labels
 from hazardlens.llm.exprs import spare
 from hazardlens.llm.io import Stash
 from hazardlens.llm.regions import partners, regions
-from hazardlens.llm.shingles import COMMON, SLOTS_LOG2, Sets, rare_prefixes, rarity_table, shingle_sets
+from hazardlens.llm.shingles import COMMON, SLOTS_LOG2, Sets, rare_prefixes, rarity_table, shingle_sets, shingles
 
 #: Partners that a row of a region proposes: one in the first round, so many times as many in each further one.
 GROWTH = 8
@@ -46,7 +46,7 @@ def units_of_texts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def common_shingles(texts: DataFrame, units=units_of_texts) -> bytes:
-    """The rarity table of all shingles of the column ``text``; counts go through one aggregation, 2**18 rows come back."""
+    """The rarity table of all shingles of the column ``text``, repeats within a unit counted; counts go through one aggregation, 2**18 rows come back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -61,7 +61,7 @@ def common_shingles(texts: DataFrame, units=units_of_texts) -> bytes:
 
         for batch in batches:
             for _, _, raw, offsets in byte_slices(batch):
-                held.append(shingle_sets(raw, units(raw, offsets)).hashes)
+                held.append(shingles(raw, units(raw, offsets))[0])
                 n += len(held[-1])
                 if n >= BLOCK:
                     yield flush()
@@ -186,11 +186,13 @@ def groups(docs: DataFrame, stash: Stash, similar: int = 80, whole_rows: bool =
     sketched = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = stash.keep(sketched, "classes")
     met = stash.keep(regions(keyed, similar), "met")
+    stash.release()
     sketches = classes.select("node", "sketch")
     left, cap = met, 1
     links = label = tried = None
     while True:
         step = stash.keep(partners(left.join(sketches, "node"), similar, cap), "level")
+        stash.release()
         pairs = step.filter("kind = 0").select(F.greatest("earlier", "later").alias("a"), F.least("earlier", "later").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -200,6 +202,7 @@ def groups(docs: DataFrame, stash: Stash, similar: int = 80, whole_rows: bool =
             new = seen.filter(F.col("both") * 100 >= F.col("either") * similar).select("a", "b")
             links = new if links is None else stash.keep(links.unionByName(new), "links")
             label = stash.keep(labels(links, stash), "label")
+            stash.release()
             tried = pairs if tried is None else stash.keep(tried.unionByName(pairs), "tried")
         still = step.filter("kind = 1").select("region").distinct()
         if label is None or not still.limit(1).count():

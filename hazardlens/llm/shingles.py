@@ -110,10 +110,10 @@ def _by_unit(unit: np.ndarray, value: np.ndarray, n_units: int) -> np.ndarray:
     return (unit.astype(np.uint64) << (np.uint64(64) - bits)) | (value >> bits)
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Sets:
-    """Shingle sets of the units ``raw[offsets[i]:offsets[i + 1]]``."""
+def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of the units ``raw[offsets[i]:offsets[i + 1]]`` in their order, repeats included, each one's unit, and the units' words."""
     n_units, n = len(offsets) - 1, len(raw)
-    none = Sets(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n_units + 1, np.int64), np.zeros(n_units, np.int64))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n_units, np.int64)
     if not n:
         return none
     is_word = (raw != 32) & ((raw < 9) | (raw > 13))
@@ -142,7 +142,13 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Sets:
     head = np.zeros(len(s), bool)
     head[first[:-1][counts > 0]] = True
     use = (left >= K) | head
-    value, unit = value[use], unit[use]
+    return value[use], unit[use], counts
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Sets:
+    """Shingle sets of the units ``raw[offsets[i]:offsets[i + 1]]``."""
+    n_units = len(offsets) - 1
+    value, unit, counts = shingles(raw, offsets)
     order = np.argsort(_by_unit(unit, value, n_units))
     value, unit = value[order], unit[order]
     new = np.ones(len(value), bool)
