@@ -85,15 +85,15 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80, short: bool
     keys = F.first(F.when(F.size("keys") > 0, F.col("keys")), ignorenulls=True).alias("keys")
     classes = found.groupBy("node").agg(F.min(rank).alias("rank"), F.count("*").alias("copies"), F.first("n").cast("int").alias("n"), keys, F.first("sketch", ignorenulls=True).alias("sketch"))
     classes = stash.keep(classes, "classes")
+    places = stash.keep(found.select("doc_id", "row_key", "line", "node"), "places")
+    stash.drop(found)  # its keys and sketches are in the classes
     met = stash.keep(regions(classes.select("node", "n", F.posexplode("keys").alias("place", "region")), similar), "met")
-    stash.release()
     sketches = classes.filter("sketch is not null").select("node", "rank", "sketch")
     owner = classes.select("node", F.col("rank.doc_id").alias("doc_id"))
     left, cap = met, 1
     hit = tried = None
     while True:
         step = stash.keep(partners(left.join(sketches, "node"), similar, cap), "level")
-        stash.release()
         pairs = step.filter("kind = 0").select(F.greatest("earlier", "later").alias("a"), F.least("earlier", "later").alias("b"), "later").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -114,11 +114,10 @@ def removed_lines(docs: DataFrame, stash: Stash, similar: int = 80, short: bool
         left = stash.keep(left.drop("done").join(some, "region", "left_semi"), "open")
         if not left.limit(1).count():
             break
-    stash.release()
     # lines that occur once and are similar to no other take no part in the join
     marks = classes.filter("copies > 1").select("node", "rank")
     marks = marks.withColumn("hit", F.lit(None).cast("boolean")) if hit is None else marks.join(hit.withColumn("hit", F.lit(True)), "node", "full_outer")
-    again = found.select("doc_id", "row_key", "line", "node").join(marks.hint("shuffle_hash"), "node")
+    again = places.join(marks.hint("shuffle_hash"), "node")
     later = ~(F.col("doc_id").eqNullSafe(F.col("rank.doc_id")) & (F.col("row_key") == F.col("rank.row_key")) & (F.col("line") == F.col("rank.line")))
     out = again.filter(F.col("hit") | later)
     return out.select("doc_id", "row_key", "line")
