@@ -129,19 +129,19 @@ def classified(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(found, keys, "left").withColumn("step", F.coalesce("step", F.lit("none")))
 
 
-def _with_previous(new: DataFrame, old: DataFrame) -> DataFrame:
+def _with_previous(new: DataFrame, old: DataFrame, component_above: float = COMPONENT_ABOVE) -> DataFrame:
     before = old.select(F.col("path").alias("old_path"), F.col("qualname").alias("old_qualname"), F.col("score").alias("previous_score"), F.col("group").alias("old_group"), *[F.col(c).alias(f"old_{c}") for c in COMPONENTS])
     out = classified(new, old).join(before, ["old_path", "old_qualname"], "left").withColumn("delta", F.col("score") - F.col("previous_score"))
-    grown = argmax_growth({c: F.col(c) for c in COMPONENTS}, {c: F.col(f"old_{c}") for c in COMPONENTS}, COMPONENT_ABOVE)
+    grown = argmax_growth({c: F.col(c) for c in COMPONENTS}, {c: F.col(f"old_{c}") for c in COMPONENTS}, component_above)
     return out.withColumn("grown", F.when(F.col("previous_score").isNotNull(), grown))
 
 
-def diff(new: DataFrame, old: DataFrame, regression_above: float = REGRESSION_ABOVE, component_gate: bool = True) -> DataFrame:
+def diff(new: DataFrame, old: DataFrame, regression_above: float = REGRESSION_ABOVE, component_gate: bool = True, component_above: float = COMPONENT_ABOVE) -> DataFrame:
     """One row per current function, and per baseline row that is gone, with its ``status``.
 
     Precedence: regressed, improved, component regressed, moved, unchanged; bounds are strict.
     """
-    m = _with_previous(new, old)
+    m = _with_previous(new, old, component_above)
     status = (
         F.when(F.col("step") == "ambiguous", "ambiguous_rename").when(F.col("step") == "none", "new")
         .when(F.col("delta") > _d(regression_above), "regressed").when(F.col("delta") < -_d(regression_above), "improved")

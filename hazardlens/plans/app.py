@@ -46,12 +46,29 @@ def analyse(spark: SparkSession, root: str, c: Config, coverage_file: str | None
     return report.suppressed(out, c.allow)[0]
 
 
+def save_snapshot(rows: DataFrame, path: str) -> None:
+    """A JSON file where ``path`` ends in .json, else a Parquet folder."""
+    if not path.endswith(".json"):
+        rows.write.mode("overwrite").parquet(path)
+        return
+    with open(path, "w", encoding="utf-8") as out:
+        out.writelines(render.snapshot_json(rows, reports.VERSIONS[-1]))
+
+
+def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """What ``save_snapshot`` wrote; JSON entries that can't be read are left out, of several of an id the last counts."""
+    if not path.endswith(".json"):
+        return spark.read.parquet(path)
+    texts = spark.read.text(path, wholetext=True).select(F.lit(path).alias("report"), F.col("value").alias("text"))
+    return coverage.latest(reports.baseline_entries(texts).filter("ok"), ["path", "qualname"])
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser("hazardlens")
     p.add_argument("command", choices=("scan", "baseline", "check", "diff", "explain"))
     p.add_argument("root")
     p.add_argument("--coverage")
-    p.add_argument("--snapshot", help="the baseline, a Parquet folder")
+    p.add_argument("--snapshot", help="the baseline, a Parquet folder or a file ending in .json")
     p.add_argument("--format", choices=("table", "json", "markdown", "sarif", "github", "pr-comment"), default="table")
     p.add_argument("--top", type=int, default=20)
     p.add_argument("--min-score", type=float)
@@ -75,10 +92,10 @@ def main(argv: list[str] | None = None) -> int:
         if not scored.limit(1).count():
             print("no functions: the baseline is left alone", file=sys.stderr)
             return 2
-        ladder.baseline(scored).write.mode("overwrite").parquet(a.snapshot)
+        save_snapshot(ladder.baseline(scored), a.snapshot)
         return 0
     if a.command in ("check", "diff"):
-        d = ladder.diff(scored, spark.read.parquet(a.snapshot), c.regression_above).cache()
+        d = ladder.diff(scored, load_snapshot(spark, a.snapshot), c.regression_above, component_above=c.component_above).cache()
         print(render.diff_text(d, a.top))
         return int(a.command == "check" and ladder.regressions(d, c.new_above, c.existing_above).limit(1).count() > 0)
     shown = report.top(scored, a.top, a.min_score).cache()

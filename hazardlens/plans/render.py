@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,18 @@ def report_json(report: DataFrame, k: int | None = None) -> DataFrame:
     return rows.select(F.to_json(named, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def snapshot_json(rows: DataFrame, version: str) -> Iterator[str]:
+    """A snapshot as the text of one JSON document, in the order of targets, row by row."""
+    own = [c for c in ("path", "qualname", "score", "fingerprint", "signature", "group", "language") if c in rows.columns]
+    entry = F.struct(*own, F.struct(*COMPONENTS).alias("components"))
+    yield f'{{"version": {json.dumps(version)}, "entries": ['
+    gap = "\n"
+    for r in rows.orderBy(target(F.col("path"), F.col("qualname"))).select(F.to_json(entry)).toLocalIterator():
+        yield gap + r[0]
+        gap = ",\n"
+    yield "\n]}\n"
+
+
 def signed(x: float | None) -> str:
     return "n/a" if x is None else f"{x:+.1f}"
 
@@ -72,14 +84,14 @@ def cut_at_lines(text: str, most: int = COMMENT_CHARS) -> str:
 
 def comment(report: DataFrame) -> str:
     """High and critical functions first, the rest collapsed."""
-    rows = risk_order(report).collect() if report.count() <= 5_000 else risk_order(report).limit(5_000).collect()
+    n, rows = report.count(), risk_order(report).limit(5_000).collect()
     line = lambda r: f"| {r['severity']} | {r['score']:.1f} | `{r['path']}::{r['qualname']}` |"
     head = ["| severity | score | function |", "| --- | ---: | --- |"]
     top = [r for r in rows if r["severity"] in SEVERITIES[:2]][:COMMENT_ROWS]
     rest = [r for r in rows if r not in top]
     parts = ["## Risk report", "", *head, *map(line, top)]
     if rest:
-        parts += ["", "<details>", f"<summary>{len(rest)} more</summary>", "", *head, *map(line, rest), "", "</details>"]
+        parts += ["", "<details>", f"<summary>{n - len(top)} more</summary>", "", *head, *map(line, rest), "", "</details>"]
     return cut_at_lines("\n".join(parts))
 
 

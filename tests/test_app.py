@@ -30,6 +30,25 @@ def test_scan_baseline_check(project, capsys):
     assert app.main(["check", root]) == 2
 
 
+def test_snapshot_json_round_trip(project, spark, capsys):
+    root, snap, folder = str(project), str(project / "snap.json"), str(project / "snap")
+    assert app.main(["baseline", root, "--snapshot", snap]) == app.main(["baseline", root, "--snapshot", folder]) == 0
+    text = json.loads((project / "snap.json").read_text())
+    assert text["version"] == "3" and len({(e["path"], e["qualname"]) for e in text["entries"]}) == len(text["entries"]) > 0
+    own = ["path", "qualname", "score", "fingerprint", "signature", "language", "churn", "sprawl"]
+    rows = lambda p: sorted(map(tuple, app.load_snapshot(spark, p).select(own).collect()))
+    assert rows(snap) == rows(folder)
+    capsys.readouterr()
+    assert app.main(["check", root, "--snapshot", snap]) == 0
+    shown = capsys.readouterr().out
+    assert "unchanged" in shown and "regressed" not in shown
+
+
+def test_comment_counts_rows_that_are_not_shown(spark):
+    rows = spark.range(5_030).selectExpr("'low' as severity", "1.0D as score", "'a.py' as path", "concat('f', id) as qualname")
+    assert "<summary>5030 more</summary>" in render.comment(rows)
+
+
 def test_config(tmp_path):
     assert config.parse({"groups": {"g": ["./src/x/"]}}).groups == {"g": ("src/x",)}
     for bad in ({"new_above": -1}, {"churn_days": 0}, {"missing_coverage": "x"}, {"groups": {"g": ["../x"]}}, {"weights": {"zz": 1}}):
