@@ -181,7 +181,8 @@ def regressions(rows: DataFrame, new_above: float = NEW_ABOVE, existing_above: f
         kind = kind.when(F.col("status").isin("improved", "moved", "unchanged") & (score > _d(existing_above)), "existing_above_threshold")
     fresh = F.col("status").isin("ambiguous_rename", "new")
     out = rows.withColumn("kind", kind).filter("kind is not null")
-    return out.select("path", "qualname", "group", "kind", score.alias("current_score"), F.when(~fresh, F.col("previous_score")).alias("previous_score"), F.when(~fresh, F.col("delta")).alias("delta"))
+    more = [c for c in ("component", "component_delta", "start_line", "end_line") if c in rows.columns]
+    return out.select("path", "qualname", "group", "kind", score.alias("current_score"), F.when(~fresh, F.col("previous_score")).alias("previous_score"), F.when(~fresh, F.col("delta")).alias("delta"), *more)
 
 
 def compare(new: DataFrame, old: DataFrame, new_above: float = NEW_ABOVE, regression_above: float = REGRESSION_ABOVE, existing_above: float | None = None) -> DataFrame:

@@ -16,14 +16,14 @@ def _entries(text: Column, path: str | None = None) -> Column:
 
 
 def coverage_files(texts: DataFrame) -> DataFrame:
-    """``report, path, basename, payload``: files of coverage reports (``report, text``); members that aren't objects are dropped.
+    """``report, pos, path, basename, payload``: files of coverage reports (``report, text``); members that aren't objects are dropped.
 
     A report without an object ``files`` raises when rows are made.
     """
     m = _entries(F.col("text"), "$.files")
     good = F.get_json_object("text", "$.files").rlike("^\\s*\\{")
     checked = F.when(F.coalesce(good, F.lit(False)), m).otherwise(F.raise_error(F.concat(F.lit("not a coverage report: "), F.col("report"))).cast("map<string,variant>"))
-    rows = texts.select("report", F.explode(checked).alias("path", "payload"))
+    rows = texts.select("report", F.posexplode(checked).alias("pos", "path", "payload"))
     rows = rows.filter(F.schema_of_variant("payload").startswith("OBJECT"))
     return rows.withColumn("path", F.replace("path", F.lit("\\"), F.lit("/"))).withColumn("basename", basename(F.col("path")))
 
@@ -108,6 +108,25 @@ def pull_requests(texts: DataFrame) -> DataFrame:
     return rows.filter("number is not null and base <> '' and head <> ''")
 
 
+def readable_coverage(texts: DataFrame) -> DataFrame:
+    """The reports (``report, text``) that hold an object ``files``; others, missing or corrupt ones, are skipped."""
+    return texts.filter(F.coalesce(F.get_json_object("text", "$.files").rlike("^\\s*\\{"), F.lit(False)))
+
+
+def log_commits(texts: DataFrame) -> DataFrame:
+    """``commit, ts, text`` of log records (``value``): a line of hash and epoch seconds, then the diff without context."""
+    p = "^\\s*([0-9a-f]{7,64}) (\\d+)\\s*(?:\\n|$)"
+    rows = texts.filter(F.col("value").rlike(p))
+    ts = F.timestamp_seconds(F.regexp_extract("value", p, 2).try_cast("bigint"))
+    return rows.select(F.regexp_extract("value", p, 1).alias("commit"), ts.alias("ts"), F.regexp_replace("value", p, "").alias("text"))
+
+
+def log_hunks(texts: DataFrame) -> DataFrame:
+    """``commit, ts, path, start, end`` of log records."""
+    c = log_commits(texts)
+    return hunks(c.select("commit", "text")).join(c.select("commit", "ts").distinct(), "commit").select("commit", "ts", "path", "start", "end")
+
+
 def blame(texts: DataFrame) -> DataFrame:
     """``key, introducer, line`` of porcelain blame output (``key, text``)."""
     rows = texts.select("key", F.explode(F.split("text", "\n")).alias("line"))
