@@ -25,6 +25,7 @@ one = Struct("<I").pack
 #: Distinct pre-tokens of a generation, of which a worker remembers two (some 150 MB at most), and the longest that is
 #: remembered (in characters); others are encoded anew.
 REMEMBERED, LONGEST = 350_000, 64
+BIT = [1 << b for b in range(256)]
 #: The white space of the Unicode standard, which the pattern's \s stands for.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -35,6 +36,7 @@ class BytePairs:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
+        self.single = [ranks[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(pattern.replace("[^\\s", f"[^{WHITE}").replace("\\S", f"[^{WHITE}]").replace("\\s", f"[{WHITE}]"))
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -52,10 +54,13 @@ class BytePairs:
         n = len(piece)
         end = list(range(1, n + 1))  # of the token that begins here; 0 where none begins
         prev = list(range(-1, n - 1))
+        ids = [self.single[b] for b in piece]
+        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of each token and its successor; -1 where they don't merge
+        pair.append(-1)
         buckets: dict[int, list[int]] = {}
         words: dict[int, int] = {}
         top = 0
-        fresh = [(i, rank) for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
+        fresh = [x for x in enumerate(pair) if x[1] >= 0]
         while True:
             for i, rank in fresh:
                 if rank in buckets:
@@ -64,9 +69,9 @@ class BytePairs:
                     buckets[rank] = [i]
                     w = rank >> 8
                     if w in words:
-                        words[w] |= 1 << (rank & 255)
+                        words[w] |= BIT[rank & 255]
                     else:
-                        words[w] = 1 << (rank & 255)
+                        words[w] = BIT[rank & 255]
                         top |= 1 << w
             if not top:
                 break
@@ -84,22 +89,26 @@ class BytePairs:
                 else:
                     words[w] = bits ^ low
             fresh = []
+            if pair[i] != rank:
+                continue  # stale: a pair's bytes only grow, so no rank comes back to a position
+            ids[i] = rank
             j = end[i]
-            if not j or j == n or get(piece[i : end[j]]) != rank:
-                continue  # stale
             k = end[i] = end[j]
             end[j] = 0
+            pair[i] = pair[j] = -1
             if k < n:
                 prev[k] = i
                 if (rank := get(piece[i : end[k]])) is not None:
+                    pair[i] = rank
                     fresh.append((i, rank))
-            if i and (rank := get(piece[prev[i] : k])) is not None:
-                fresh.append((prev[i], rank))
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[piece[i : end[i]]])
-            i = end[i]
-        return out
+            if i:
+                h = prev[i]
+                if (rank := get(piece[h:k])) is not None:
+                    pair[h] = rank
+                    fresh.append((h, rank))
+                else:
+                    pair[h] = -1
+        return [x for x, e in zip(ids, end, strict=True) if e]
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
