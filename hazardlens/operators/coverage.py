@@ -135,11 +135,14 @@ def aligned(units: DataFrame, points: DataFrame, at: str = "line") -> DataFrame:
 
 
 def first_enclosing(units: DataFrame, points: DataFrame, at: str = "line") -> DataFrame:
-    """Points plus ``unit``: the first unit in discovery order (``ordinal``) that contains the line, so the outermost."""
-    numbered = points.withColumn("_row", F.monotonically_increasing_id())
-    hits = contained(units.select("path", "unit", "ordinal", "start_line", "end_line"), numbered, at)
-    best = hits.groupBy("_row").agg(F.min_by("unit", "ordinal").alias("unit"))
-    return numbered.join(best, "_row", "left").drop("_row")
+    """Points plus ``unit``: the first unit in discovery order (``ordinal``) that contains the line, so the outermost.
+
+    Places are looked up by their path and line: row numbers would differ where Spark computes the points twice. Of units
+    with one ordinal the smallest counts.
+    """
+    hits = contained(units.select("path", "unit", "ordinal", "start_line", "end_line"), points.select("path", at).distinct(), at)
+    best = hits.groupBy("path", at).agg(F.min_by("unit", F.struct("ordinal", "unit")).alias("unit"))
+    return points.join(best, ["path", at], "left")
 
 
 def joined_ints(values: Column) -> Column:

@@ -169,3 +169,13 @@ def test_names(spark):
     assert [r[0] for r in df.select(names.is_public(F.col("q"))).collect()] == [False, True, False, True]
     p = spark.createDataFrame([("src/a/b.py",), ("lib/c.py",)], "p string")
     assert [r[0] for r in p.select(names.any_glob(F.col("p"), ["src/*.py"])).collect()] == [True, False]
+
+
+def test_first_enclosing_of_points_in_any_order(spark):
+    units = spark.createDataFrame([(i, "a", 10 * i, 10 * i + 9, i) for i in range(50)] + [(99, "a", 0, 39, -1)], "unit int, path string, start_line int, end_line int, ordinal int")
+    shuffled = lambda batches: (b.sample(frac=1) for b in batches)
+    points = spark.range(0, 600, 1, 4).selectExpr("'a' as path", "cast(id as int) as line").mapInPandas(shuffled, "path string, line int")
+    got = {r.line: r.unit for r in coverage.first_enclosing(units, points).collect()}
+    assert got == {i: 99 if i < 40 else i // 10 if i < 500 else None for i in range(600)}
+    twice = spark.createDataFrame([("a", 45), ("a", 45), (None, 45), ("a", None)], "path string, line int")
+    assert sorted(r.unit or -1 for r in coverage.first_enclosing(units, twice).collect()) == [-1, -1, 4, 4]
