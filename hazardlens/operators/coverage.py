@@ -2,7 +2,9 @@
 
 Units have ``unit, path, start_line, end_line``; lines ``path, line, executed``; arcs ``path, pos, src, dst, executed``.
 Interval joins are equi-joins on the path and bins of BIN lines, with the interval as residual: a long file with many
-functions costs its rows, not rows times functions.
+functions costs its rows, not rows times functions. Joins whose sides have a row a function or more are merge joins:
+Spark's size estimates know neither the rows that bins add nor how well columns are packed, and a table of functions that
+is sent to the driver and broadcast for that outgrows its memory.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ def contained(units: DataFrame, points: DataFrame, at: str, bin_size: int | None
     """Units joined with the points ``at`` whose line lies in their closed span."""
     inside = points[at].between(F.col("start_line"), F.col("end_line"))
     if bin_size is None:
-        return units.join(points, "path").where(inside)
+        return units.join(points.hint("merge"), "path").where(inside)
     bins = F.sequence(F.floor(F.col("start_line") / bin_size), F.floor(F.col("end_line") / bin_size))
     u = units.withColumn("_bin", F.explode(bins))
     p = points.withColumn("_bin", F.floor(F.col(at) / bin_size))
-    return u.join(p, ["path", "_bin"]).where(p[at].between(F.col("start_line"), F.col("end_line"))).drop("_bin")
+    return u.join(p.hint("merge"), ["path", "_bin"]).where(p[at].between(F.col("start_line"), F.col("end_line"))).drop("_bin")
 
 
 def line_coverage(units: DataFrame, lines: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def with_coverage(units: DataFrame, lines: DataFrame, arcs: DataFrame, files: Da
     lc = line_coverage(units, lines).select("unit", "line_coverage")
     bc = branch_coverage(units, arcs).select("unit", "branch_coverage")
     out = units.join(files.select("path").distinct().withColumn("_seen", F.lit(True)), "path", "left")
-    out = out.join(lc, "unit", "left").join(bc, "unit", "left")
+    out = out.join(lc.hint("merge"), "unit", "left").join(bc.hint("merge"), "unit", "left")
     absent = F.col("_seen").isNull()
     if policy == "skip":
         out = out.filter(~absent)
@@ -142,7 +144,7 @@ def first_enclosing(units: DataFrame, points: DataFrame, at: str = "line") -> Da
     """
     hits = contained(units.select("path", "unit", "ordinal", "start_line", "end_line"), points.select("path", at).distinct(), at)
     best = hits.groupBy("path", at).agg(F.min_by("unit", F.struct("ordinal", "unit")).alias("unit"))
-    return points.join(best, ["path", at], "left")
+    return points.join(best.hint("merge"), ["path", at], "left")
 
 
 def joined_ints(values: Column) -> Column:

@@ -39,7 +39,7 @@ class Tables:
         """One row per line item: where in its part's file it falls."""
         li = self("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
         u = self.units().select("unit", "path", "start_line", "n_lines")
-        out = li.join(u, F.col("l_partkey") == F.col("unit"))
+        out = li.join(u.hint("merge"), F.col("l_partkey") == F.col("unit"))  # as in coverage: parts are as many as functions
         return out.withColumn("line", (F.col("start_line") + F.col("l_orderkey") % F.col("n_lines")).cast("int")).drop("unit", "start_line", "n_lines")
 
     def lines(self) -> DataFrame:
@@ -53,7 +53,7 @@ class Tables:
 
     def hunks(self, all_time: bool = False) -> DataFrame:
         o = self("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("ts"))
-        h = self.touched().join(o, "l_orderkey").select(
+        h = self.touched().join(o.hint("merge"), "l_orderkey").select(
             F.col("l_orderkey").alias("commit"), "ts", "path", F.col("line").alias("start"), (F.col("line") + F.col("l_quantity").cast("int") - 1).alias("end"))
         if all_time:
             return h
@@ -64,7 +64,7 @@ class Tables:
         u = self.units()
         lines = self.lines()
         out = coverage.with_coverage(u, lines, self.arcs(), lines.select("path"), policy)
-        return out.join(churn.function_churn(u, self.hunks()), "unit")
+        return out.join(churn.function_churn(u, self.hunks()).hint("merge"), "unit")
 
     def scored(self, policy: str = "pessimistic", weights=None) -> DataFrame:
         return report.scored(self.facts(policy), weights)

@@ -36,6 +36,13 @@ def test_scans_read_only_what_they_need(spark):
     assert "l_comment" not in plan and "p_retailprice" not in plan
 
 
+@pytest.mark.parametrize("name", ["line_coverage_binned"])
+def test_functions_are_not_broadcast(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "BroadcastHashJoin [path#" not in x] == []
+
+
 def test_entry_module():
     import __spark_entry__ as e
 
