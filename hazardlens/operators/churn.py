@@ -12,13 +12,13 @@ def overlapping(units: DataFrame, hunks: DataFrame, bin_size: int | None = BIN)
     """Units joined with the hunks (``commit, path, start, end``) of their path that overlap their closed span.
 
     Both sides are dealt out by line bins first, so that files with very many rows stay linear; a pair is kept in
-    the one bin where the later of the two begins, so nothing has to be made distinct.
+    the one bin where the later of the two begins, so nothing has to be made distinct. Merge joins, as in ``coverage``.
     """
     meets = (F.col("start") <= F.col("end_line")) & (F.col("start_line") <= F.col("end"))
     if bin_size is None:
-        return units.join(hunks, "path").where(meets)
+        return units.join(hunks.hint("merge"), "path").where(meets)
     lot = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_size), F.floor(F.col(b) / bin_size)))
-    joined = units.withColumn("_bin", lot("start_line", "end_line")).join(hunks.withColumn("_bin", lot("start", "end")), ["path", "_bin"])
+    joined = units.withColumn("_bin", lot("start_line", "end_line")).join(hunks.withColumn("_bin", lot("start", "end")).hint("merge"), ["path", "_bin"])
     return joined.where(meets & (F.col("_bin") == F.floor(F.greatest("start_line", "start") / bin_size))).drop("_bin")
 
 
@@ -30,7 +30,7 @@ def since(hunks: DataFrame, cutoff) -> DataFrame:
 def function_churn(units: DataFrame, hunks: DataFrame, bin_size: int | None = BIN) -> DataFrame:
     """``unit, commits``: distinct commits that touch each unit, 0 included."""
     n = overlapping(units, hunks, bin_size).groupBy("unit").agg(F.countDistinct("commit").alias("commits"))
-    return units.select("unit").join(n, "unit", "left").select("unit", F.coalesce("commits", F.lit(0)).alias("commits"))
+    return units.select("unit").join(n.hint("merge"), "unit", "left").select("unit", F.coalesce("commits", F.lit(0)).alias("commits"))
 
 
 def file_churn(hunks: DataFrame) -> DataFrame:

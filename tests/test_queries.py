@@ -36,7 +36,7 @@ def test_scans_read_only_what_they_need(spark):
     assert "l_comment" not in plan and "p_retailprice" not in plan
 
 
-@pytest.mark.parametrize("name", ["line_coverage_binned"])
+@pytest.mark.parametrize("name", ["line_coverage_binned", "union_of_backends"])
 def test_functions_are_not_broadcast(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
