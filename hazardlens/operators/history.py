@@ -35,25 +35,59 @@ def fix_commits(log: DataFrame, words: Sequence[str] = FIX_WORDS, most: int | No
     return rows if most is None else rows.limit(most)
 
 
+#: Signals beside the body, by their bit in a mask.
+SIGNALS = {"signature": ladder.SIGNATURE, "path": ladder.PATH, "tail": ladder.TAIL}
+
+
+def _weight(mask: int) -> float:
+    return ladder.BODY + sum(w for i, w in enumerate(SIGNALS.values()) if mask >> i & 1)
+
+
+def _by_signals(df: DataFrame) -> DataFrame:
+    """A row for each set of signals that aren't null: its ``mask``, the body and their values (the others empty)."""
+    named = df.withColumn("tail", tail(F.col("qualname")))
+    keys = []
+    for mask in range(1 << len(SIGNALS)):
+        own = [c for i, c in enumerate(SIGNALS) if mask >> i & 1]
+        key = F.struct(F.lit(mask).alias("mask"), F.col("fingerprint").alias("body"), *[(F.col(c) if c in own else F.lit("")).alias(f"k_{c}") for c in SIGNALS])
+        known = F.lit(True)
+        for c in own:
+            known = known & F.col(c).isNotNull()
+        keys.append(F.when(known, key))
+    return named.withColumn("key", F.explode(F.array(*keys))).filter("key is not null").select("*", "key.*").drop("key", "tail")
+
+
 def tracked(rows: DataFrame, snapshot: DataFrame) -> DataFrame:
     """``rows`` (``path, qualname, fingerprint, signature``) plus ``sid``: the snapshot function that each is, or null.
 
-    The same id; else the best of those with the same body, signature or last name part, by the ladder's similarity (the row
-    counts as all zero), if it is similar enough and no other is near it. Candidates come from one equi-join for each kind of
-    key, so a row meets only snapshot functions that share one.
+    The same id; else the best by the ladder's similarity (the row counts as all zero), if it is similar enough and no other
+    is near it. Without an equal body a pair has 0.45 at most, which neither is enough nor near to what is: bodies decide who
+    competes. Copies of a body aren't paired: a row meets the counts of snapshot functions for each set of signals that they
+    share with it at least, and inclusion and exclusion give how many are near its best.
     """
-    keyed = lambda df: df.select("*", F.explode(F.array(F.concat(F.lit("b:"), "fingerprint"), F.concat(F.lit("s:"), "signature"), F.concat(F.lit("t:"), tail(F.col("qualname"))))).alias("key")).filter("key is not null")
     ids = ["path", "qualname", "fingerprint", "signature"]
-    zero = [F.lit(0.0).alias(c) for c in (*COMPONENTS, "score") if c not in rows.columns]
     wanted = rows.select(*ids).distinct()
     exact = wanted.join(snapshot.select("path", "qualname", F.col("sid").alias("by_id")), ["path", "qualname"])
-    open_rows = wanted.join(exact.select("path", "qualname"), ["path", "qualname"], "left_anti").select(*ids, *zero)
-    old = snapshot.select("sid", *ids, *[F.col(c) if c in snapshot.columns else F.lit(0.0).alias(c) for c in (*COMPONENTS, "score")])
-    pairs = keyed(open_rows).alias("n").join(keyed(old).alias("o"), F.col("n.key") == F.col("o.key"))
-    pairs = pairs.select(*[F.col(f"n.{c}").alias(c) for c in ids], F.col("o.sid").alias("near"), ladder.similarity().alias("similarity")).distinct()
-    own = Window.partitionBy(*ids)
-    best = pairs.withColumn("best", F.max("similarity").over(own)).filter((F.col("best") >= ladder.MATCH) & (F.col("best") - F.col("similarity") <= ladder.BAND))
-    best = best.groupBy(*ids).agg(F.count("*").alias("n"), F.min("near").alias("near")).filter("n = 1").drop("n")
+    open_rows = wanted.join(snapshot.select("path", "qualname"), ["path", "qualname"], "left_anti").filter("fingerprint is not null")
+    had = lambda c: F.col(c) if c in snapshot.columns else F.lit(0.0)
+    shape, zero = F.lit(True), F.lit(0.0)
+    for c in COMPONENTS:
+        shape = shape & (had(c) == 0)
+    yes = lambda cond, w: F.when(F.coalesce(cond, F.lit(False)), F.lit(w)).otherwise(zero)
+    more = yes(shape, ladder.SHAPE) + yes(F.abs(had("score")) <= ladder.SCORE_MOST, ladder.SCORE)
+    old = snapshot.select("sid", *ids, more.alias("more")).distinct().join(open_rows.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    key = ["mask", "body", *[f"k_{c}" for c in SIGNALS]]
+    counts = _by_signals(old).groupBy(*key, "more").agg(F.count("*").alias("n"), F.min("sid").alias("near"))
+    met = _by_signals(open_rows).join(counts, key)
+    value = lambda mask: F.round(F.lit(_weight(mask)) + F.col("more"), 6)
+    masks = range(1 << len(SIGNALS))
+    met = met.withColumn("similarity", F.element_at(F.array(*map(value, masks)), F.col("mask") + 1))
+    met = met.withColumn("best", F.max("similarity").over(Window.partitionBy(*ids))).filter(F.col("best") >= ladder.MATCH)
+    share = F.lit(0)
+    for m in masks:
+        sign = F.when(F.bit_count(F.col("mask").bitwiseXOR(F.lit(m))) % 2 == 0, 1).otherwise(-1)
+        share = share + F.when((F.col("mask").bitwiseAND(F.lit(m)) == m) & (F.col("best") - value(m) <= ladder.BAND), sign).otherwise(0)
+    best = met.groupBy(*ids).agg(F.sum(share * F.col("n")).alias("n"), F.max_by("near", "similarity").alias("near")).filter("n = 1").drop("n")
     found = exact.select(*ids, F.col("by_id").alias("sid")).unionByName(best.select(*ids, F.col("near").alias("sid"))).select(*[F.col(c).alias(f"_{c}") for c in ids], "sid")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
     return rows.drop("sid").join(found, same[0] & same[1] & same[2] & same[3], "left").drop(*[f"_{c}" for c in ids])

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -45,6 +46,50 @@ def test_tracking_prefers_the_same_path_of_two_equal_bodies(spark):
     assert got == {"a.pyf2": "1", "z.pyz": None, "c.pyk": "4", "y.pyq": "3", "d.pyD.m": None, "n.pyn": None}
 
 
+def test_tracking_agrees_with_all_pairs(spark):
+    rng = random.Random(3)
+    pick = lambda *xs: rng.choice(xs)
+    zero = [c for c in COMPONENTS if c != "churn"]
+    old = [(i, pick("a", "b", "c", None), f"m{i}.{pick('f', 'g', 'h')}", pick("b1", "b2", "b3", "b4", f"u{i}"), pick("s1", "s2", None), pick(0.0, 0.0, 3.0), pick(1.0, 50.0)) for i in range(40)]
+    new = sorted({(pick("a", "b", "c", "d"), f"n{i}.{pick('f', 'g', 'k')}", pick("b1", "b2", "b3", "b4", *[f"u{j}" for j in range(40)]), pick("s1", "s2", "s3")) for i in range(150)})
+    snapshot = spark.createDataFrame(old, "sid int, path string, qualname string, fingerprint string, signature string, churn double, score double").withColumns({c: F.lit(0.0) for c in zero})
+    rows = spark.createDataFrame(new, "path string, qualname string, fingerprint string, signature string")
+    want = {}
+    for path, name, body, sig in new:
+        like = lambda o: round(0.55 * (o[3] == body) + 0.2 * (o[4] == sig) + 0.1 * (o[1] == path) + 0.05 * (o[2].split(".")[-1] == name.split(".")[-1]) + 0.05 * (o[5] == 0) + 0.05 * (o[6] <= 2), 6)  # noqa: B023, E731
+        best = max(map(like, old))
+        near = [o[0] for o in old if best - like(o) <= 0.05]
+        want[path, name] = near[0] if best >= 0.65 and len(near) == 1 else None
+    assert {(r.path, r.qualname): r.sid for r in history.tracked(rows, snapshot).collect()} == want and len(set(want.values())) > 5
+
+
+def test_tracking_pairs_no_copies(spark):
+    zero = {c: F.lit(0.0) for c in (*COMPONENTS, "score")}
+    ids = lambda name: ("'p' as path", f"concat('{name}', id) as qualname", "concat('body', if(id < 1500, 0, id)) as fingerprint", "'s' as signature")
+    rows, snapshot = spark.range(3000).selectExpr(*ids("n.n")), spark.range(3000).selectExpr("id as sid", *ids("o.o")).withColumns(zero)
+    out = history.tracked(rows, snapshot)
+    assert out.filter("sid is not null").count() == 1500
+    out.collect()
+    assert max(rows_made(out)) < 100_000
+
+
+def rows_made(df):
+    seen, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            left.append(node.plan())
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+        rows = node.metrics().get("numOutputRows")
+        if rows.isDefined():
+            seen.append(rows.get().value())
+    return seen
+
+
 def test_gate_rollup_falls_back_to_the_diff(spark):
     diff = spark.createDataFrame([("g", "improved"), (None, "new")], "group string, status string")
     reg = spark.createDataFrame([("p", "q", "g", "regressed", 9.0, 0.0), ("p", "a", "g", "regressed", 9.0, None), ("p", "b", None, "component_regressed", 1.0, 20.0)], "path string, qualname string, group string, kind string, current_score double, delta double")
