@@ -38,16 +38,37 @@ def byte_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
         first = last
 
 
-def tidy(of: Callable) -> Callable:
-    """``of`` for a reused Python worker: what its arrays took is given back to the system when the task ends."""
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable) -> object:
+    """What an earlier task of this Python worker made for ``key``, or else ``make()``; ``tidy`` tasks of another key drop it."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back(key: tuple | None = None) -> None:
+    """Drops what is kept, but for ``key``, and gives the system what arrays and dropped objects took."""
+    for k in [k for k in _kept if k != key]:
+        del _kept[k]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+def tidy(of: Callable, key: tuple | None = None) -> Callable:
+    """``of`` for a reused Python worker: what its arrays took is given back to the system when the task ends.
+
+    Of what earlier tasks have ``kept``, only what is under ``key`` stays.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(key)
         try:
             yield from of(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-            if trim is not None:
-                trim(0)
+            give_back(key)
 
     return task

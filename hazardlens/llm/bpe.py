@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hazardlens.llm.arrowtext import tidy
+from hazardlens.llm.arrowtext import kept, tidy
 
 one = Struct("<I").pack
 #: Distinct pre-tokens of a generation, of which a worker remembers two (some 150 MB at most), and the longest that is
@@ -137,16 +137,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-_loaded: dict[tuple[str, str], BytePairs] = {}
-
-
 def coder(name: str, pattern: str, blob: bytes) -> BytePairs:
-    """One per vocabulary; what it remembers is bounded (see REMEMBERED)."""
-    key = (name, pattern)
-    if key not in _loaded:
+    """One per vocabulary, kept for the worker's next tasks of it; what it remembers is bounded (see REMEMBERED)."""
+
+    def load() -> BytePairs:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
-        _loaded[key] = BytePairs(ranks, pattern)
-    return _loaded[key]
+        return BytePairs(ranks, pattern)
+
+    return kept((name, pattern), load)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -186,4 +184,4 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, schema: str, row, ty
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(of), f"doc_id {kind}, {schema}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(of, (ranks_path, pattern)), f"doc_id {kind}, {schema}")

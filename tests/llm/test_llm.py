@@ -1,15 +1,18 @@
+import gc
 import hashlib
 import random
 import string
 
 import brute
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from hazardlens.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, secret_scan, suffix_dedup, toxicity
+from hazardlens.llm.arrowtext import tidy
 from hazardlens.llm.io import Stash
 from hazardlens.llm import regions
 from hazardlens.llm.shingles import shingle_sets
@@ -52,6 +55,26 @@ def test_bpe_is_tiktoken(spark, corpus):
         assert bytes(got[i].decoded) == (t or "").encode()
 
 
+def test_workers_give_up_the_vocabulary(spark, corpus):
+    docs = frame(spark, corpus).repartition(16)
+    assert bpe.digests(docs, RANKS, P.PATTERN).count() == len(corpus)
+
+    def coders(batches):
+        n = sum(type(x).__name__ == "BytePairs" for x in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows)], ["n"])
+
+    assert docs.select("doc_id").mapInArrow(tidy(coders), "n long").filter("n > 0").count() == 0  # tasks of another kind
+
+
+def test_workers_keep_the_vocabulary():
+    with open(RANKS, "rb") as f:
+        blob = f.read()
+    one = bpe.coder(RANKS, P.PATTERN, blob)
+    list(tidy(lambda batches: batches, (RANKS, P.PATTERN))(iter([])))
+    assert bpe.coder(RANKS, P.PATTERN, blob) is one
+
+
 def test_bpe_of_long_pre_tokens():
     ranks = bpe.read_ranks(RANKS)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
